@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import line_dedup, near_dedup
+from recollect.llm import line_dedup, mixing, near_dedup, packing, toxicity
 from recollect.plans.shared import stage
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
 STAGES = [
-    ("line dedup", lambda spark, docs, sf_dir: line_dedup.drop_repeated_lines(docs)),
-    ("near dedup", lambda spark, docs, sf_dir: near_dedup.drop_near_duplicates(docs)),
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", drop_near_duplicates),
+    ("source mixing", mix_sources),
+    ("packing", pack),
 ]
 
-#: Training and packing can't be said in SQL.
+#: A trained classifier and online packing can't be said in SQL.
 ORACLE_SQL = None
 
 

@@ -4,24 +4,85 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import line_dedup, near_dedup
+from recollect.llm import language, language_model, line_dedup, mixing, near_dedup, neighbours, packing, phrases, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copies")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(_table(spark, sf_dir, "documents")).drop("th")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.perplexities(_table(spark, sf_dir, "documents"))
+
+
+def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.similar_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are toxic."""
+    found = toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.where("toxic = 1").select("doc_id", "odds")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op9_near_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing, op2_substring_dedup, op3_line_dedup, op4_lm_scoring, op5_sequence_packing,
+        op6_phrase_fingerprints, op7_nearest_neighbours, op8_toxicity, op9_near_dedup, op10_language_id,
+    )
+}
 
 ORACLES = {
+    "op1_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, length(bin(length(text)))::BIGINT AS x,
+         (('0x' || substr(md5('1:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), s AS (SELECT source, count(*) AS n, sum(x)::BIGINT AS total, floor(sqrt(count(*)) * 100)::BIGINT AS w FROM d GROUP BY source),
+q AS (SELECT *, sum(n) OVER ()::BIGINT AS want, sum(w) OVER ()::BIGINT AS every FROM s),
+p AS (SELECT *, want * w // every AS share, row_number() OVER (ORDER BY want * w % every DESC, source) AS rank FROM q),
+a AS (SELECT source, total, share + CASE WHEN rank <= want - (SELECT sum(share) FROM p) THEN 1 ELSE 0 END AS share FROM p),
+e AS (
+  SELECT doc_id, d.source, u, total, share, share * x // total AS certain, share * x % total AS rest FROM d JOIN a USING (source)
+), r AS (
+  SELECT *, share - sum(certain) OVER (PARTITION BY source) AS lacking,
+         CASE WHEN rest > 0 THEN row_number() OVER (
+           PARTITION BY source ORDER BY CASE WHEN rest > 0 THEN (u * (total - rest)) / ((1 - u) * rest) END NULLS LAST, doc_id) END AS place
+  FROM e
+), c AS (
+  SELECT doc_id, source, (certain + CASE WHEN place <= lacking THEN 1 ELSE 0 END)::INTEGER AS copies FROM r
+)
+SELECT * FROM c WHERE copies > 0
+""",
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
