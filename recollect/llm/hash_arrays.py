@@ -57,7 +57,7 @@ def write(table: DataFrame, key: str, value: str, name: str) -> str:
             _save(f"{folder}/{p}.keys", h[own])
             _save(f"{folder}/{p}.values", v[own].astype(np.float32))
             _save(f"{folder}/{p}.starts", np.append(start, len(own)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([int(p)]), pa.array([len(own)])], ["part", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([len(own)])], ["part", "n"])
 
     stored = table.select(F.col(key), F.col(value).cast("double")).mapInArrow(hashed, "part int, h long, v double").repartition(1 << bits, "part").mapInArrow(save, "part int, n long")
     assert sum(r.n for r in stored.toLocalIterator()) == rows
