@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import hash_arrays
-from recollect.llm.arrays import pieces
+from recollect.llm.arrays import map_batches, pieces
 from recollect.plans.shared import stage
 
 #: Symbols of an n-gram. A symbol is a byte of UTF-8 plus 1, 0 before a text's begin, or END behind its last byte.
@@ -63,16 +63,17 @@ def counts(docs: DataFrame, order: int) -> DataFrame:
             k, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
 
-    return docs.where("text is not null").select("text").mapInArrow(tally, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return map_batches(docs.where("text is not null").select("text"), tally, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from the counts of counts; 0.5, 1, 1.5 where one of these is 0."""
+    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from the counts of counts; 0.5, 1, 1.5 where one of these is 0 or a discount isn't between 0 and its count (an unseen symbol would have no probability)."""
     n = [x or 0 for x in table.agg(*[F.sum((F.col("c") == i).cast("long")) for i in (1, 2, 3, 4)]).first()]
     if not all(n):
         return 0.5, 1.0, 1.5
     y = n[0] / (n[0] + 2 * n[1])
-    return tuple(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) for i in (1, 2, 3))
+    d = tuple(i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3))
+    return d if all(0 < x < i for i, x in enumerate(d, 1)) else (0.5, 1.0, 1.5)
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> list[str]:
@@ -149,7 +150,7 @@ def scored(docs: DataFrame, model: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_symbols", "log_prob", "perplexity"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(score, "doc_id long, n_symbols long, log_prob double, perplexity double")
+    return map_batches(narrow, score, "doc_id long, n_symbols long, log_prob double, perplexity double")
 
 
 def perplexities(docs: DataFrame, order: int = ORDER) -> DataFrame:

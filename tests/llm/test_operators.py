@@ -219,11 +219,12 @@ def reference_kneser_ney(texts, order):
     info = []
     for c in levels:
         n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        d = [0.5, 1.0, 1.5]
         if all(n):
             y = n[0] / (n[0] + 2 * n[1])
-            d = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0), i) for i in (1, 2, 3)]
-        else:
-            d = [0.5, 1.0, 1.5]
+            own = [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
+            if all(0 < x < i for i, x in zip((1, 2, 3), own)):
+                d = own
         total, weight = Counter(), Counter()
         for g, v in c.items():
             total[g[:-1]] += v
