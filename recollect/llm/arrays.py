@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Rows that Spark hands to a Python worker at once. Texts are long, and a worker holds several copies of a batch.
+BATCH = 1000
 #: Bytes of text worked on at once, so that the temporaries stay in the cache; a longer document is one piece.
 PIECE = 1 << 20
 U = np.uint64
@@ -18,6 +21,12 @@ PLAIN = np.arange(256) > 32
 LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow(function, schema) with batches of at most BATCH rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return df.mapInArrow(function, schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = h ^ (h >> U(30))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import pieces
+from recollect.llm.arrays import map_batches, pieces
 from recollect.plans.shared import join_sized, stage
 
 #: Lengths of the n-grams, over the bytes of the lower-cased text with a space before and after it.
@@ -71,7 +71,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(own[some])], ["lang", "bucket", "n"])
 
-    found = labelled.mapInArrow(tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(labelled, tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.ones((1 << BITS, len(langs)))
     counts[found["bucket"].to_numpy(np.int64), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] += found["n"].to_numpy()
@@ -104,7 +104,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names.to_pylist(), pa.string(), mask=none), pa.array(margin, mask=none)], ["doc_id", "language", "margin"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.trim("text") != "", _text()).alias("text"))
-    return narrow.mapInArrow(score, "doc_id long, language string, margin double")
+    return map_batches(narrow, score, "doc_id long, language string, margin double")
 
 
 def languages(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:

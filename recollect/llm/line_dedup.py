@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.arrays import U, mix
+from recollect.llm.arrays import U, map_batches, mix
 from recollect.plans.shared import join_sized, stage
 
 #: Edits (insert, delete, replace a character) by which two lines may differ. The halves filter below is exact for 1.
@@ -82,7 +82,7 @@ def repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
                 v = variant_hashes(line).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h[i], len(v))), pa.array(np.repeat(g[i], len(v))), pa.array(v)], ["h", "g", "v"])
 
-    variants = text.select("h", "g", "line").mapInArrow(vary, "h long, g long, v long")
+    variants = map_batches(text.select("h", "g", "line"), vary, "h long, g long, v long")
     met = variants.groupBy("v").agg(F.collect_set(F.struct("h", "g")).alias("ids")).where("size(ids) > 1")
     met = met.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b").distinct()
     pairs = met.select("a.h", "a.g", F.col("b.h").alias("h2"), F.col("b.g").alias("g2"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import LETTERS, binary, grams, minimum_hashes, pieces, span_hashes, words
+from recollect.llm.arrays import LETTERS, binary, grams, map_batches, minimum_hashes, pieces, span_hashes, words
 from recollect.llm.signatures import components, near_pairs
 from recollect.plans.shared import join_sized, stage
 
@@ -29,7 +29,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, k: int = COORDINATES) ->
                     yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(some)), binary(minimum_hashes(g, off, k)[some])], ["doc_id", "sig"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
-    return narrow.mapInArrow(sign, "doc_id long, sig binary")
+    return map_batches(narrow, sign, "doc_id long, sig binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, k: int = COORDINATES, least: int = LEAST) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import PLAIN, pieces, words
+from recollect.llm.arrays import PLAIN, map_batches, pieces, words
 from recollect.plans.shared import stage
 
 #: Tokens of a sequence; tokens are words between white space, and one more ends each document.
@@ -64,7 +64,7 @@ def lengths(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), b.column(1).take(pa.array(some)), pa.array(n[some] + 1)], ["doc_id", "key", "n"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text").where("text is not null")
-    return narrow.mapInArrow(count, "doc_id long, key long, n long")
+    return map_batches(narrow, count, "doc_id long, key long, n long")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

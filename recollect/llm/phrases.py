@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import U, binary, minimum_hashes, mix, pieces
+from recollect.llm.arrays import U, binary, map_batches, minimum_hashes, mix, pieces
 from recollect.llm.signatures import near_pairs
 
 #: Production parameters: minimum hashes of a fingerprint, and how many must agree.
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, k: int = COORDINATES) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(some)), binary(sig[some])], ["doc_id", "sig"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return narrow.mapInArrow(sign, "doc_id long, sig binary")
+    return map_batches(narrow, sign, "doc_id long, sig binary")
 
 
 def similar_documents(docs: DataFrame, k: int = COORDINATES, least: int = LEAST) -> DataFrame:

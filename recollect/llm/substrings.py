@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import PLAIN, U, grams, mix, pieces, span_hashes, words
+from recollect.llm.arrays import PLAIN, U, grams, map_batches, mix, pieces, span_hashes, words
 from recollect.plans.shared import fits, join_sized, stage
 
 #: Words that a passage must have to count. Words are what stands between white space.
@@ -83,7 +83,7 @@ def _suffixes(docs: DataFrame, length: int, bucket: int) -> DataFrame:
                     new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
                     yield pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64)), pa.array(owner[new])], ["run", "doc_id"])
 
-    seen = docs.mapInArrow(sketch, "run long, doc_id long").groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    seen = map_batches(docs, sketch, "run long, doc_id long").groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     runs = stage(seen.where("low != high").select("run"), "runs")
     # equal beginnings of suffixes have a run in common, so only suffixes whose run is found in two documents need sorting
     few = fits(runs, 16)
@@ -115,7 +115,7 @@ def _suffixes(docs: DataFrame, length: int, bucket: int) -> DataFrame:
                 cols = [k.view(np.int64) for k in keys] + [ids[i:j][doc], number, low.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "c", "doc_id", "at", "run"])
 
-    suffixes = docs.mapInArrow(emit, "a long, b long, c long, doc_id long, at long, run long")
+    suffixes = map_batches(docs, emit, "a long, b long, c long, doc_id long, at long, run long")
     if not few:
         suffixes = suffixes.join(runs, "run", "left_semi")
     return _sorted(stage(suffixes.drop("run"), "suffixes"), bucket)
@@ -146,7 +146,7 @@ def _sorted(suffixes: DataFrame, bucket: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][keep]) for x in out], ["a", "b", "c", "doc_id", "at", "low", "high", "border"])
 
     ranged = suffixes.repartitionByRange(parts, "a", "b", "c", "doc_id", "at") if parts > 1 else suffixes.coalesce(1)
-    found = stage(ranged.mapInArrow(compare, "a long, b long, c long, doc_id long, at long, low long, high long, border boolean"), "repeats")
+    found = stage(map_batches(ranged, compare, "a long, b long, c long, doc_id long, at long, low long, high long, border boolean"), "repeats")
     inner = found.where("not border").select("doc_id", "at", F.col("low").alias("first_doc"))
     border = found.where("border")
     met = stage(border.groupBy("a", "b", "c").agg(F.min("low").alias("first_doc"), F.max("high").alias("last")).where("first_doc != last"), "borders")
@@ -185,5 +185,5 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKE
                 n[i:j] = np.diff(words(data, at, PLAIN)[2])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], ["doc_id", "rep", "n"])
 
-    whole = marked.where("rep is not null").select("doc_id", "rep", "text").mapInArrow(count, "doc_id long, rep long, n int").where(F.col("n") >= length).distinct()
+    whole = map_batches(marked.where("rep is not null").select("doc_id", "rep", "text"), count, "doc_id long, rep long, n int").where(F.col("n") >= length).distinct()
     return runs.unionByName(whole.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("stop"), F.col("rep").alias("first_doc_id")))

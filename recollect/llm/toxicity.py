@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import PLAIN, pieces
+from recollect.llm.arrays import BATCH, PIECE, PLAIN, pieces
 from recollect.plans.shared import stage
 
 #: Lengths in bytes of the character n-grams of a word, white space before and after it included.
@@ -91,6 +91,18 @@ def document_odds(data: np.ndarray, at: np.ndarray, table: np.ndarray, bias: flo
     return odds
 
 
+def _all_odds(data: np.ndarray, at: np.ndarray, model: Model) -> np.ndarray:
+    """The log-odds of all windows, worked out for about PIECE bytes at a time."""
+    out, i = [], 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
+        own = data[at[i] : at[j]]
+        begin, end, _ = windows(own, at[i : j + 1] - at[i])
+        out.append(window_odds(own, begin, end, model.table(), float(model.bias[1] - model.bias[0])))
+        i = j
+    return np.concatenate(out)
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int = 6) -> Model:
     """Fit to documents labelled as a whole.
 
@@ -113,7 +125,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int = 6) -
     label = toxic[rows]
     squares = [np.full(1 << BITS, 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)]
     for r in range(rounds):
-        odds = window_odds(data, begin, end, model.table(), float(model.bias[1] - model.bias[0])) if r else None
+        odds = _all_odds(data, at, model) if r else None
         chosen = []
         for d in range(len(rows)):
             own = np.arange(off[d], off[d + 1])
@@ -157,7 +169,10 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int = 6) -
         rest = np.arange(len(raw))
     data = np.frombuffer(b"".join(raw[i] for i in rest), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(raw[i]) for i in rest])])
-    odds = document_odds(data, at, model.table(), float(model.bias[1] - model.bias[0]))
+    per_window, off = _all_odds(data, at, model), windows(data, at)[2]
+    odds = np.full(len(at) - 1, -np.inf)
+    some = np.flatnonzero(np.diff(off))
+    odds[some] = np.maximum.reduceat(per_window, off[:-1][some])
     order = np.argsort(odds)
     odds, y = odds[order], toxic[rest][order]
     wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum(~y[::-1])])[::-1]  # cut before the i-th
@@ -201,22 +216,30 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[lis
     return [r.text for r in rows], np.array([r.y for r in rows], bool)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' doc_id and `odds`, the log-odds of the worst window above the cut: toxic from 0. Null without a word."""
-    spark = docs.sparkSession
+def _low(text: str) -> F.Column:
+    return F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
+
+
+def _odds(spark: SparkSession, model: Model):
+    """A function of lower-cased texts: the log-odds of the worst window above the cut, null without a word."""
     shipped = spark.sparkContext.broadcast((model.table(), float(model.bias[1] - model.bias[0]), model.cut))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
-    def score(batches):
+    @F.arrow_udf("double")
+    def odds(text: pa.Array) -> pa.Array:
         table, bias, cut = shipped.value
-        for b in batches:
-            odds = np.full(b.num_rows, -np.inf)
-            for i, j, data, at in pieces(b.column(1)):
-                odds[i:j] = document_odds(data, at, table, bias)
-            odds = odds - cut if np.isfinite(cut) else np.where(np.isfinite(odds), -1e9, odds)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(odds, mask=~np.isfinite(odds))], ["doc_id", "odds"])
+        out = np.full(len(text), -np.inf)
+        for i, j, data, at in pieces(text):
+            out[i:j] = document_odds(data, at, table, bias)
+        out = out - cut if np.isfinite(cut) else np.where(np.isfinite(out), -1e9, out)
+        return pa.array(out, mask=~np.isfinite(out))
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), F.lower(F.coalesce("text", F.lit(""))), F.lit(" ")).alias("text"))
-    return narrow.mapInArrow(score, "doc_id long, odds double")
+    return odds
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs' doc_id and `odds`, the log-odds of the worst window above the cut: toxic from 0. Null without a word."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _odds(docs.sparkSession, model)(_low("text")).alias("odds"))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -233,20 +256,5 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """docs without the rows whose worst window is toxic; all other rows and all columns as they are."""
-    spark = docs.sparkSession
     model = train(*sample(docs, labels, limit))
-    shipped = spark.sparkContext.broadcast((model.table(), float(model.bias[1] - model.bias[0]), model.cut))
-    place = docs.columns.index("text")
-
-    def keep(batches):
-        table, bias, cut = shipped.value
-        for b in batches:
-            odds = np.full(b.num_rows, -np.inf)
-            for i, j, data, at in pieces(b.column(b.num_columns - 1)):
-                odds[i:j] = document_odds(data, at, table, bias)
-            kept = pa.array(~(odds >= cut)) if np.isfinite(cut) else pa.array(np.ones(b.num_rows, bool))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(b.num_columns - 1)], docs_names).filter(kept)
-
-    docs_names = docs.columns
-    low = F.concat(F.lit(" "), F.lower(F.coalesce(docs[docs.columns[place]], F.lit(""))), F.lit(" "))
-    return docs.select("*", low.alias("__low")).mapInArrow(keep, docs.schema)
+    return docs.where(F.coalesce(_odds(docs.sparkSession, model)(_low("text")) < 0, F.lit(True)))
