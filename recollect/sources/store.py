@@ -75,7 +75,8 @@ def export_json(memories: DataFrame, links: DataFrame, form: str = "json") -> Da
         raise ValueError(f"no such export format: {form}")
     own = links.groupBy("from_id").agg(F.array_sort(F.collect_list(F.struct("pos", "to_id", "weight", "link_type"))).alias("links"))
     m = memories.join(own, memories["id"] == own["from_id"], "left")
-    out = F.transform(F.coalesce("links", F.array().cast("array<struct<pos:int,to_id:bigint,weight:double,link_type:string>>")), lambda x: F.struct(x["to_id"].alias("to_id"), x["weight"].alias("weight"), x["link_type"].alias("type")))
+    out = F.transform("links", lambda x: F.struct(x["to_id"].alias("to_id"), x["weight"].alias("weight"), x["link_type"].alias("type")))
+    out = F.coalesce(out, F.array().cast(f"array<struct<to_id:{links.schema['to_id'].dataType.simpleString()},weight:double,type:string>>"))
     row = F.struct(*[c for c in COLUMNS], out.alias("links"))
     return m.select("id", F.to_json(row, {"ignoreNullFields": "false"}).alias("row"))
 
