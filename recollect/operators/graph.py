@@ -188,3 +188,11 @@ def shared_tag_edges(memories: DataFrame, least: int = 2) -> DataFrame:
     own = memories.select("id", F.explode(F.array_distinct("tags")).alias("t"))
     other = own.select(F.col("id").alias("b"), "t")
     return own.withColumnRenamed("id", "a").join(other, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+
+
+def typed(links: DataFrame, memories: DataFrame, domain, day: int = 86400) -> DataFrame:
+    """links with a type by what they join: semantic within a domain, temporal within a day, else associative. domain: a column of memories."""
+    m = memories.select("id", domain.alias("d"), "ts")
+    a, b = m.toDF("from_id", "d1", "t1"), m.toDF("to_id", "d2", "t2")
+    kind = F.when(F.col("d1") == F.col("d2"), "semantic").when(F.abs(F.col("t1") - F.col("t2")) < day, "temporal").otherwise("associative")
+    return links.join(a, "from_id").join(b, "to_id").select("from_id", "to_id", "weight", kind.alias("link_type"))

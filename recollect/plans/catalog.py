@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import decay as D
+from recollect.functions import records
 from recollect.functions import text as T
 from recollect.operators import graph, layout, recall, sharding, stats, versions
 from recollect.sources import store
@@ -800,6 +801,28 @@ def point_read(m):
     return _rows(store.point(m, START).select("id", "node_type", D.boosted(a, 0.05).alias("activation")), activation=6)
 
 
+@register(f"""o AS (SELECT from_id, count(*) AS n, sum(weight) AS w FROM links GROUP BY from_id)
+SELECT lpad(id::VARCHAR, 36, '0') AS id, md5(content) AS content_md5, version, array_to_string(tags, ',') AS tags, coalesce(n, 0) AS n_links, round(coalesce(w, 0), 3) AS weight, round(activation, 4) AS activation FROM memories LEFT JOIN o ON id = from_id""", "ml")
+def record_round_trip(m, l):
+    """All memories as binary records and back; the format keeps weights and activations in single precision."""
+    back = records.decoded(records.encoded(records.as_records(m, l)))
+    w = F.aggregate(F.transform("links", lambda x: x["weight"]), F.lit(0.0), lambda a, x: a + x)
+    return _rows(back.select("id", F.md5("content").alias("content_md5"), "version", F.array_join("tags", ",").alias("tags"), F.size("links").cast("long").alias("n_links"), w.alias("weight"), "activation"), weight=3, activation=4)
+
+
+@register()
+def compression_savings(m):
+    """Sizes by zlib level and by the codec that the size would get."""
+    p = records.compressed(m, "id", "content").withColumn("codec", T.codec_for(F.col("bytes")))
+    return p.groupBy("level", "codec").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("packed").alias("packed"))
+
+
+@register(f"""d AS (SELECT id, ts, {_DOMAIN} AS d FROM memories)
+SELECT from_id, to_id, round(weight, 6) AS weight, CASE WHEN a.d = b.d THEN 'semantic' WHEN abs(a.ts - b.ts) < 86400 THEN 'temporal' ELSE 'associative' END AS link_type FROM links JOIN d a ON a.id = from_id JOIN d b ON b.id = to_id""", "ml")
+def link_types(m, l):
+    return _rows(graph.typed(l, m, recall.domain("tags", DOMAINS)), weight=6)
+
+
 # ---- layouts
 
 _NUM = "num AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM memories)"

@@ -327,3 +327,16 @@ def test_tables_that_are_empty(spark):
     assert stats.store(m, l).first().total == 0 and stats.links(m, l).first().density == 0 and versions.statistics(m).first().longest == 0
     assert recall.content_recall(m, "a word", 5, 0).count() == 0 and versions.roots(m).count() == 0 and graph.components(l).count() == 0
     assert recall.tag_recall_all(m, ["a"], 3).count() == 0 and layout.sphere(m).count() == 0
+
+
+def test_generated_tables(spark):
+    from recollect.sources import generated
+
+    m, l = generated.memories(spark, 3000), generated.links(spark, 3000)
+    rows = m.collect()
+    assert rows == generated.memories(spark, 3000).collect() and len(rows) == 3000
+    kinds = {k: sum(r.node_type == k for r in rows) / 30 for k, _ in generated.KINDS}
+    assert all(abs(kinds[k] - w) < 3 for k, w in generated.KINDS)
+    assert all(2 <= len(r.tags) <= 6 and 0.1 <= r.activation <= 1 for r in rows)
+    pairs = [(r.from_id, r.to_id) for r in l.collect()]
+    assert len(pairs) == len({*pairs}) and all(b < a for a, b in pairs) and max(pairs.count((a, b)) for a, b in pairs[:5]) == 1
