@@ -103,7 +103,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFram
             names = pa.array(langs + [""] if not langs else langs).take(pa.array(np.maximum(best, 0)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names.to_pylist(), pa.string(), mask=none), pa.array(margin, mask=none)], ["doc_id", "language", "margin"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.trim("text") != "", _text()).alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").rlike(r"\S"), _text()).alias("text"))
     return map_batches(narrow, score, "doc_id long, language string, margin double")
 
 

@@ -469,7 +469,7 @@ def test_toxicity_windows_and_score_match_brute_force():
     begin, end, off = toxicity.windows(data, np.array([0, len(data)]))
     words = text.split()
     got = [text[b:e].split() for b, e in zip(begin, end)]
-    assert got == [words[i : i + 8] for i in range(0, 24, 4)] and off.tolist() == [0, 6]
+    assert got == [words[i : i + 8] for i in range(0, 28, 4)] and off.tolist() == [0, 7]
     table_ = np.random.default_rng(0).normal(size=1 << toxicity.BITS).astype(np.float32)
     odds = toxicity.window_odds(data, begin, end, table_, 0.5)
     f, owner = toxicity._bags_of(data, begin, end)
