@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.arrays import U, map_batches, mix
+from recollect.llm.arrays import BATCH, U, map_batches, mix
 from recollect.plans.shared import join_sized, stage
 
 #: Edits (insert, delete, replace a character) by which two lines may differ. The halves filter below is exact for 1.
@@ -98,17 +97,17 @@ def repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     return gone.select("at.doc_id", "at.line_no", "at.th", F.col("to.doc_id").alias("first_doc_id"), F.col("to.line_no").alias("first_line_no"), "edits").distinct()
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts without the numbered lines; null where text is null."""
 
     def one(t, numbers):
         if t is None:
             return None
-        out = {*numbers.tolist()}
+        out = {*numbers}
         return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out)
 
-    return pd.Series([one(t, n) for t, n in zip(text, gone)], dtype=object)
+    return pa.array([one(t.as_py(), n.as_py()) for t, n in zip(text, gone)], pa.string())
 
 
 def drop_repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
@@ -120,6 +119,7 @@ def drop_repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFram
     gone = repeated_lines(docs, min_fuzzy).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("line_no").alias("__gone"))
     gone = stage(gone, "gone")
     d = join_sized(docs, gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left", 80)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     left = _without(F.when(F.col("__gone").isNotNull(), F.col("text")), F.col("__gone"))
     d = d.withColumn("text", F.coalesce(left, "text")).where("__gone is null or text rlike '\\\\S'")
     if "n_chars" in docs.columns:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import U, map_batches, mix
+from recollect.llm.arrays import NUMBERS, U, map_batches, mix
 from recollect.plans.shared import join_sized, stage
 
 #: Size of the sketch of how many documents have a coordinate-value pair. It orders the pairs; any order is right, a closer one is faster.
@@ -49,7 +49,7 @@ def near_pairs(sigs: DataFrame, k: int, least: int, extra: int = 4) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
     often = np.zeros(SKETCH, np.int64)
-    for r in map_batches(reps.select("sig"), tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in map_batches(reps.select("sig"), tally, "bucket long, n long", NUMBERS).groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         often[r.bucket] = r.n
     often = spark.sparkContext.broadcast(often)
     prefix = min(k, k - least + extra)
@@ -66,7 +66,7 @@ def near_pairs(sigs: DataFrame, k: int, least: int, extra: int = 4) -> DataFrame
                 ids = np.repeat(c.column(0).to_numpy(zero_copy_only=False), prefix)
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), pa.array(ids)], ["element", "doc_id"])
 
-    lists = map_batches(reps, post, "element long, doc_id long").groupBy("element").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) > 1")
+    lists = map_batches(reps, post, "element long, doc_id long", NUMBERS).groupBy("element").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) > 1")
     each = lists.select("ids", F.posexplode("ids").alias("i", "doc_a")).where("i + 1 < size(ids)")
     met = each.select("doc_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("doc_b"))
     met = met.where("doc_a != doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("met")).where(F.col("met") >= min(extra, least))
@@ -77,7 +77,7 @@ def near_pairs(sigs: DataFrame, k: int, least: int, extra: int = 4) -> DataFrame
             same = (_matrix(b.column("sig_a"), k) == _matrix(b.column("sig_b"), k)).sum(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_a"), b.column("doc_b"), pa.array(same)], ["doc_a", "doc_b", "matches"])
 
-    found = map_batches(both.select("doc_a", "doc_b", "sig_a", "sig_b"), compare, "doc_a long, doc_b long, matches int").where(F.col("matches") >= least)
+    found = map_batches(both.select("doc_a", "doc_b", "sig_a", "sig_b"), compare, "doc_a long, doc_b long, matches int", NUMBERS).where(F.col("matches") >= least)
     # a doc_id that occurs with several texts can give a pair more than once
     return stage(found.unionByName(same).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches")), "pairs")
 

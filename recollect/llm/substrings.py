@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import PLAIN, U, grams, map_batches, mix, pieces, span_hashes, words
+from recollect.llm.arrays import NUMBERS, PLAIN, U, grams, map_batches, mix, pieces, span_hashes, words
 from recollect.plans.shared import fits, join_sized, stage
 
 #: Words that a passage must have to count. Words are what stands between white space.
@@ -146,7 +146,7 @@ def _sorted(suffixes: DataFrame, bucket: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][keep]) for x in out], ["a", "b", "c", "doc_id", "at", "low", "high", "border"])
 
     ranged = suffixes.repartitionByRange(parts, "a", "b", "c", "doc_id", "at") if parts > 1 else suffixes.coalesce(1)
-    found = stage(map_batches(ranged, compare, "a long, b long, c long, doc_id long, at long, low long, high long, border boolean"), "repeats")
+    found = stage(map_batches(ranged, compare, "a long, b long, c long, doc_id long, at long, low long, high long, border boolean", NUMBERS), "repeats")
     inner = found.where("not border").select("doc_id", "at", F.col("low").alias("first_doc"))
     border = found.where("border")
     met = stage(border.groupBy("a", "b", "c").agg(F.min("low").alias("first_doc"), F.max("high").alias("last")).where("first_doc != last"), "borders")
