@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import U, mix
+from recollect.llm.arrays import NUMBERS, U, map_batches, mix
 from recollect.plans.shared import local_path, shared_path
 
 #: Entries of one file.
@@ -41,14 +41,14 @@ def write(table: DataFrame, key: str, value: str, name: str) -> str:
         for b in batches:
             h = mix(b.column(0).to_numpy().view(U))
             part = (h >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(h.view(np.int64)), b.column(1)], ["part", "h", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), b.column(1)], ["part", "k", "v"])
 
     def save(batches):
         got = [x for x in zip(*([b.column(k).to_numpy() for k in range(3)] for b in batches))]
         if not got:
             return
         part, h, v = (np.concatenate(x) for x in got)
-        h = h.view(U)
+        h = mix(h.view(U))
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
             own = own[np.argsort(h[own])]
@@ -59,7 +59,9 @@ def write(table: DataFrame, key: str, value: str, name: str) -> str:
             _save(f"{folder}/{p}.starts", np.append(start, len(own)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([len(own)])], ["part", "n"])
 
-    stored = table.select(F.col(key), F.col(value).cast("double")).mapInArrow(hashed, "part int, h long, v double").repartition(1 << bits, "part").mapInArrow(save, "part int, n long")
+    # the keys are shuffled as they are: unlike their hashes they can be compressed, as they come sorted
+    parts = map_batches(table.select(F.col(key), F.col(value).cast("float")), hashed, "part int, k long, v float", NUMBERS)
+    stored = parts.repartitionById(1 << bits, F.col("part")).mapInArrow(save, "part int, n long")
     assert sum(r.n for r in stored.toLocalIterator()) == rows
     return folder
 

@@ -1,42 +1,118 @@
-"""Interpolated modified Kneser-Ney n-gram model over bytes, and the perplexity of documents (operator 4)."""
+"""Interpolated modified Kneser-Ney n-gram model over words, and the perplexity of documents (operator 4)."""
 
 from __future__ import annotations
 
+import gc
+import os
+import shutil
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import hash_arrays
-from recollect.llm.arrays import map_batches, pieces
-from recollect.plans.shared import stage
+from recollect.llm.arrays import LETTERS, NUMBERS, U, map_batches, pieces, span_hashes, words
+from recollect.plans.shared import local_path, shared_path, stage
 
-#: Symbols of an n-gram. A symbol is a byte of UTF-8 plus 1, 0 before a text's begin, or END behind its last byte.
-ORDER = 5
-END = 257
-_BITS = 9
-#: Symbols that can come next: 256 bytes and the end.
-SYMBOLS = 257
+#: Symbols of an n-gram. A symbol is a word of the vocabulary, from WORD on; elsewhere a byte of UTF-8 plus 1; 0 before a text's begin, or END behind its last byte.
+ORDER = 3
+END, WORD = 257, 258
+#: Bits of a symbol without and with words: three with words are 63 bits, so that every n-gram has a number of its own.
+_BYTE_BITS, _WORD_BITS = 9, 21
+#: Words of the vocabulary at most, the most frequent ones; a word that occurs once in the corpus isn't in it.
+WORDS = (1 << _WORD_BITS) - WORD
 
 
-def ngrams(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """One n-gram for every byte of every document and for its end, as a number of order * 9 bits, in the order of the text."""
+def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every word: letters and digits, with the space before them where there is one."""
+    starts, ends, first = words(data, at, LETTERS)
+    begin = np.repeat(at[:-1], np.diff(first))
+    starts = starts - ((starts > begin) & (data[np.maximum(starts - 1, 0)] == 32))
+    return starts, ends, span_hashes(data, starts, ends)
+
+
+def vocabulary(docs: DataFrame, most: int = WORDS) -> str:
+    """File of the sorted hashes of the words that occur twice or more, as many of the most frequent as fit in; "" if there is none."""
+
+    def tally(batches):
+        for b in batches:
+            for _, _, data, at in pieces(b.column(0)):
+                h, c = np.unique(spans(data, at)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+    counted = map_batches(docs.where("text is not null").select("text"), tally, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counted = stage(counted.where("c > 1"), "words")
+    least, total = 0, 0
+    for c, n in sorted(((r.c, r.n) for r in counted.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = c
+    if not least:
+        return ""
+    path = local_path(shared_path(docs.sparkSession, "vocabulary"))
+
+    def save(batches):
+        h = np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)])
+        hash_arrays._save(path, np.sort(h.view(U)))
+        yield pa.RecordBatch.from_arrays([pa.array([len(h)])], ["n"])
+
+    map_batches(counted.where(F.col("c") >= least).select("h").repartition(1), save, "n long", NUMBERS).collect()
+    return path
+
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> np.ndarray:
+    return np.load(path, mmap_mode="r") if path else np.zeros(0, U)
+
+
+def symbols(data: np.ndarray, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all documents and each one's first (one entry more): words of the vocabulary, and every byte that is in none of them."""
+    known, s = _words(path), data.astype(np.int64) + 1
+    if not len(known) or not len(data):
+        return s, at
+    starts, ends, h = spans(data, at)
+    place = np.searchsorted(known, h)
+    hit = known[np.minimum(place, len(known) - 1)] == h
+    starts, ends = starts[hit], ends[hit]
+    s[starts] = WORD + place[hit]
+    rest = np.zeros(len(data) + 1, np.int8)
+    rest[starts + 1] += 1
+    rest[ends] -= 1
+    keep = np.cumsum(rest[:-1], dtype=np.int8) == 0
+    off = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=off[1:])
+    return s[keep], off[at]
+
+
+def bits(path: str) -> int:
+    return _WORD_BITS if path else _BYTE_BITS
+
+
+def ngrams(s: np.ndarray, at: np.ndarray, order: int, width: int) -> np.ndarray:
+    """One n-gram for every symbol of every document and for its end, as a number of order * width bits, in the order of the text."""
     n = len(at) - 1
     size = np.diff(at) + order  # order - 1 symbols before, the end behind
     base = np.cumsum(size) - size
-    s = np.zeros(int(size.sum()), np.int64)
-    s[np.arange(len(data)) + np.repeat(base + order - 1 - at[:-1], np.diff(at))] = data.astype(np.int64) + 1
-    s[base + size - 1] = END
-    key = s.copy()
+    all_ = np.zeros(int(size.sum()), np.int64)
+    all_[np.arange(len(s)) + np.repeat(base + order - 1 - at[:-1], np.diff(at))] = s
+    all_[base + size - 1] = END
+    key = all_.copy()
     for _ in range(order - 1):
-        key = (key[:-1] << _BITS) | s[len(s) - len(key) + 1 :]
-    return key[s[order - 1 :] > 0] if n else key[:0]
+        key = (key[:-1] << width) | all_[len(all_) - len(key) + 1 :]
+    return key[all_[order - 1 :] > 0] if n else key[:0]
+
 
+def _totals(counted: DataFrame) -> DataFrame:
+    """(key, c, total) of (ctx, key, c): with the sum of its context."""
+    return counted.select("key", "c", F.sum("c").over(Window.partitionBy("ctx")).alias("total"))
 
-def counts(docs: DataFrame, order: int) -> DataFrame:
-    """(key, c): every n-gram of the corpus and how often it occurs. Tasks add up what they have before it is shuffled."""
+
+def counts(docs: DataFrame, order: int, path: str = "") -> DataFrame:
+    """(key, c, total): every n-gram of the corpus, how often it occurs, and its context. Tasks add up what they have before it is shuffled, once, by context."""
+    width = bits(path)
 
     def tally(batches):
         held, size = [], 0
@@ -49,21 +125,25 @@ def counts(docs: DataFrame, order: int) -> DataFrame:
             new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             return k[new], np.add.reduceat(c, new)
 
+        def sent(k, c):
+            for i in range(0, len(k), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 17)]), pa.array(c[i : i + (1 << 17)])], ["key", "c"])
+
         for b in batches:
             for _, _, data, at in pieces(b.column(0)):
-                held.append(np.unique(ngrams(data, at, order), return_counts=True))
+                held.append(np.unique(ngrams(*symbols(data, at, path), order, width), return_counts=True))
                 size += len(held[-1][0])
                 if size > 4_000_000:
                     held = [merged()]
                     size = len(held[0][0])
                     if size > 3_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["key", "c"])
+                        yield from sent(*held[0])
                         held, size = [], 0
         if size:
-            k, c = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
+            yield from sent(*merged())
 
-    return map_batches(docs.where("text is not null").select("text"), tally, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    told = map_batches(docs.where("text is not null").select("text"), tally, "key long, c long").withColumn("ctx", F.shiftright("key", width) if order > 1 else F.lit(0).cast("long"))
+    return _totals(told.repartition("ctx").groupBy("ctx", "key").agg(F.sum("c").alias("c")))
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -76,74 +156,79 @@ def discounts(table: DataFrame) -> tuple[float, float, float]:
     return d if all(0 < x < i for i, x in enumerate(d, 1)) else (0.5, 1.0, 1.5)
 
 
-def fit(docs: DataFrame, order: int = ORDER) -> list[str]:
-    """Count, estimate and store the model; the folders of its arrays: of probabilities for orders 1.., then of backoff weights for 2...
+def _freed(spark, *tables: DataFrame) -> None:
+    """Delete staged tables that aren't needed any more, and let Spark delete the shuffle files of jobs that have ended: it does when the driver collects its garbage."""
+    for t in tables:
+        for folder in {os.path.dirname(f) for f in t.inputFiles()}:
+            shutil.rmtree(local_path(folder))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    The highest order has its counts; a lower one counts the symbols that precede. Every n-gram found is stored with its
-    whole interpolated probability, every context with the weight of the order below.
+
+def fit(docs: DataFrame, order: int = ORDER, most: int = 0) -> list[str]:
+    """Count, estimate and store the model: the vocabulary's file, of at most `most` words ("": bytes alone); what an unseen symbol has; the folders of the arrays of orders 1.., then of backoff weights for 2...
+
+    The highest order has its counts; a lower one counts the symbols that precede. Every n-gram found is stored with
+    its own part of the probability, (count - discount) / total, every context with the weight of the order below.
     """
-    tables = [stage(counts(docs, order), f"grams-{order}")]
+    if order * (_WORD_BITS if most else _BYTE_BITS) > 63:
+        raise ValueError("an n-gram of this order doesn't fit in 63 bits")
+    spark, path = docs.sparkSession, vocabulary(docs, most) if most else ""
+    width, every = bits(path), END + len(_words(path))
+    tables = [stage(counts(docs, order, path), f"grams-{order}")]
+    _freed(spark)
     for n in range(order - 1, 0, -1):
-        low = tables[0].groupBy(F.col("key").bitwiseAND((1 << _BITS * n) - 1).alias("key")).agg(F.count("*").alias("c"))
-        tables.insert(0, stage(low, f"grams-{n}"))
-    found, backoffs, below = [], [], None
+        low = tables[0].groupBy(F.col("key").bitwiseAND((1 << width * n) - 1).alias("key")).agg(F.count("*").alias("c"))
+        tables.insert(0, stage(_totals(low.withColumn("ctx", F.shiftright("key", width) if n > 1 else F.lit(0).cast("long"))), f"grams-{n}"))
+        _freed(spark)
+    found, backoffs, unseen = [], [], 1 / every
     for n, table in enumerate(tables, 1):
         d = discounts(table)
         less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = table.withColumn("ctx", F.shiftright("key", _BITS) if n > 1 else F.lit(0).cast("long"))
-        ctx = rows.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum(less) / F.sum("c")).alias("weight"))
+        weight = (F.sum(less) / F.sum("c")).alias("weight")
         if n > 1:
-            ctx = stage(ctx, f"contexts-{n}")
+            ctx = stage(table.groupBy(F.shiftright("key", width).alias("ctx")).agg(weight), f"contexts-{n}")
             backoffs.append(hash_arrays.write(ctx, "ctx", "weight", f"backoff-{n}"))
-            rows = rows.withColumn("low", F.col("key").bitwiseAND((1 << _BITS * (n - 1)) - 1))
-            rows = rows.join(below.select(F.col("key").alias("low"), F.col("p").alias("p_low")), "low")
+            _freed(spark, ctx)
         else:
-            rows = rows.withColumn("p_low", F.lit(1 / SYMBOLS))
-        p = (F.col("c") - less) / F.col("total") + F.col("weight") * F.col("p_low")
-        below = stage(rows.join(ctx, "ctx").select("key", p.alias("p")), f"probabilities-{n}")
-        found.append(hash_arrays.write(below, "key", "p", f"probability-{n}"))
-        if n == 1:
-            rest = ctx.first()
-            backoffs.append(str(rest.weight / SYMBOLS if rest else 1 / SYMBOLS))
-    return found + backoffs
+            unseen *= w if (w := table.agg(weight).first().weight) is not None else 1
+        found.append(hash_arrays.write(table.select("key", ((F.col("c") - less) / F.col("total")).alias("p")), "key", "p", f"own-{n}"))
+        _freed(spark, table)
+    return [path, str(unseen), *found, *backoffs]
 
 
 @lru_cache(maxsize=2)
-def _load(model: tuple[str, ...]) -> tuple[list[hash_arrays.HashArrays], float, list[hash_arrays.HashArrays]]:
-    order = len(model) // 2
-    return [hash_arrays.HashArrays(x) for x in model[:order]], float(model[order]), [hash_arrays.HashArrays(x) for x in model[order + 1 :]]
+def _load(model: tuple[str, ...]) -> tuple[float, list[hash_arrays.HashArrays], list[hash_arrays.HashArrays]]:
+    order = (len(model) - 1) // 2
+    return float(model[1]), [hash_arrays.HashArrays(x) for x in model[2 : 2 + order]], [hash_arrays.HashArrays(x) for x in model[2 + order :]]
 
 
 def probabilities(keys: np.ndarray, model: tuple[str, ...]) -> np.ndarray:
-    """p(last symbol | those before) of each n-gram, by the longest part of it that is stored and the weights of the longer contexts."""
-    found, unseen, backoffs = _load(model)
-    p = found[-1].get(keys).astype(np.float64)
-    todo, weight, n = np.flatnonzero(np.isnan(p)), None, len(found)
-    weight = np.ones(len(todo))
-    while len(todo):
-        part = keys[todo] & ((1 << _BITS * n) - 1)
+    """p(last symbol | those before) of each n-gram: from the lowest order up, the part of its own and the weight of what is below; an unseen context changes nothing."""
+    (unseen, found, backoffs), width = _load(model), bits(model[0])
+    p = np.full(len(keys), unseen)
+    for n, own in enumerate(found, 1):
+        part = keys & ((1 << width * n) - 1)
         if n > 1:
-            w = backoffs[n - 2].get(part >> _BITS)
-            weight *= np.where(np.isnan(w), 1.0, w)
-        n -= 1
-        low = found[n - 1].get(part & ((1 << _BITS * n) - 1)) if n else np.full(len(todo), unseen)
-        hit = ~np.isnan(low)
-        p[todo[hit]] = weight[hit] * low[hit]
-        todo, weight = todo[~hit], weight[~hit]
+            w = backoffs[n - 2].get(part >> width)
+            p *= np.where(np.isnan(w), 1.0, w)
+        p += np.nan_to_num(own.get(part))
     return p
 
 
 def scored(docs: DataFrame, model: list[str]) -> DataFrame:
-    """(doc_id, n_symbols, log_prob, perplexity) for every row: over all bytes of the text and its end, natural logarithm; null for a null text."""
-    order, model = len(model) // 2, tuple(model)
+    """(doc_id, n_symbols, log_prob, perplexity) for every row: over all symbols of the text and its end, natural logarithm; null for a null text."""
+    order, model = (len(model) - 1) // 2, tuple(model)
+    width = bits(model[0])
 
     def score(batches):
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             for i, j, data, at in pieces(b.column(1)):
+                s, at = symbols(data, at, model[0])
                 size = np.diff(at) + 1
                 n[i:j] = size
-                total[i:j] = np.add.reduceat(np.log(probabilities(ngrams(data, at, order), model)), np.cumsum(size) - size)
+                total[i:j] = np.add.reduceat(np.log(probabilities(ngrams(s, at, order, width), model)), np.cumsum(size) - size)
             null = b.column(1).is_null().to_numpy(zero_copy_only=False)
             with np.errstate(over="ignore"):
                 cols = [pa.array(n, mask=null), pa.array(total, mask=null), pa.array(np.exp(-total / np.maximum(n, 1)), mask=null)]
@@ -154,10 +239,12 @@ def scored(docs: DataFrame, model: list[str]) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, n_symbols, log_prob, perplexity) for every row of docs under a model counted over all of docs.
+    """(doc_id, n_symbols, log_prob, perplexity) for every row of docs under a model of words counted over all of docs.
+
+    A word that occurs once in all of docs is spelled in bytes, as is all that is between words but a single space.
 
     An empty text is scored by its end alone, a null text has null scores and isn't counted. A null doc_id is scored like
     another, rows that repeat one are counted and scored one by one. Whole texts are counted and scored. An empty table
     gives no rows. Other columns are not read, whatever their names.
     """
-    return scored(docs, fit(docs, order))
+    return scored(docs, fit(docs, order, WORDS))

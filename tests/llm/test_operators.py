@@ -261,6 +261,30 @@ def test_language_model_matches_the_definition(spark):
         assert language_model.probabilities(keys, tuple(model)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_language_model_counts_words_and_knows_their_order(spark):
+    import re
+
+    rng = random.Random(8)
+    sentences = [prose(rng, 7) for _ in range(60)]
+    texts = [" ".join(rng.choice(sentences) for _ in range(6)) + f"\n{'once'[: i % 4]}{i}é." for i in range(80)]
+    docs = table(spark, list(enumerate(texts)))
+    seen = Counter(w for t in texts for w in re.findall(r" ?[a-z0-9é]+", t))
+    for r in language_model.perplexities(docs).collect():
+        found = re.findall(r" ?[a-z0-9é]+", texts[r.doc_id])
+        spelled = len(texts[r.doc_id].encode()) - sum(len(w.encode()) - 1 for w in found if seen[w] > 1)
+        assert r.n_symbols == spelled + 1
+    model = language_model.fit(docs, language_model.ORDER, language_model.WORDS)
+    prosaic = [" ".join(rng.choice(sentences) for _ in range(6)) for _ in range(10)]
+    mixed = [" ".join(rng.sample(t.split(" "), len(t.split(" ")))) for t in prosaic]
+    score = {r.doc_id: r.perplexity for r in language_model.scored(table(spark, list(enumerate(prosaic + mixed))), model).collect()}
+    assert all(score[i + 10] > 5 * score[i] for i in range(10))
+    s, at = language_model.symbols(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0].encode())]), model[0])
+    every = np.arange(1, 258 + sum(c > 1 for c in seen.values()))
+    for a, b in ((0, 0), (0, s[0]), (s[3], s[4]), (3, 2)):
+        keys = (int(a) << 42) | (int(b) << 21) | every
+        assert language_model.probabilities(keys, tuple(model)).sum() == pytest.approx(1, abs=1e-5)
+
+
 def test_hash_arrays_in_several_files(spark, monkeypatch):
     from recollect.llm import hash_arrays
     from recollect.plans.shared import stage
