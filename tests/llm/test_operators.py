@@ -455,6 +455,18 @@ def test_neighbours_have_recall(spark):
     assert hits >= 0.9 * 15000
 
 
+def test_the_beam_grows_until_recall_is_reached(spark):
+    v = np.random.default_rng(12).normal(size=(3000, 32)).astype(np.float32)
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :10]
+    got = neighbours.nearest(docs, degree=6, beam=12).collect()
+    assert len(got) == 30000
+    assert sum(r.neighbour_id in want[r.vec_id] for r in got) >= 0.9 * 30000
+
+
 def test_neighbours_of_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int, node string, other string, part string"
     x = ("c", "c", "c")
