@@ -168,26 +168,35 @@ def degrees(links: DataFrame) -> DataFrame:
     return both.distinct().groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def _tag_classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, tags) with the set of tags in order, and the pairs (a, b, common, n) of such sets that have a tag in common; n: memories with b."""
+    own = memories.select("id", F.array_sort(F.array_distinct("tags")).alias("tags"))
+    classes = stage(own.groupBy("tags").agg(F.count("*").alias("n")), "tag-sets")
+    a, b = classes.select(F.col("tags").alias("a")), classes.select(F.col("tags").alias("b"), "n")
+    return own, a.withColumn("t", F.explode("a")).join(b.withColumn("t", F.explode("b")), "t").groupBy("a", "b").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+
+
 def shared_tags(memories: DataFrame, least: int = 2) -> DataFrame:
     """(id, n_edges, weight): with how many other memories one has `least` tags or more in common, and how many tags in all.
 
     Memories with the same set of tags are one class; classes are compared, never memories, so the work grows with the
     number of different tag sets and not with the square of the table.
     """
-    own = memories.select("id", F.array_sort(F.array_distinct("tags")).alias("tags"))
-    classes = stage(own.groupBy("tags").agg(F.count("*").alias("n")), "tag-sets")
-    a, b = classes.select(F.col("tags").alias("a")), classes.select(F.col("tags").alias("b"), "n")
-    pairs = a.withColumn("t", F.explode("a")).join(b.withColumn("t", F.explode("b")), "t").groupBy("a", "b").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+    own, pairs = _tag_classes(memories)
     others = F.col("n") - F.when(F.col("a") == F.col("b"), 1).otherwise(0)
     found = pairs.where(F.col("common") >= least).groupBy("a").agg(F.sum(others).alias("n_edges"), F.sum(others * F.col("common")).alias("weight")).where("n_edges > 0")
     return own.join(found, own["tags"] == found["a"]).select("id", "n_edges", "weight")
 
 
 def shared_tag_edges(memories: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, weight), a < b: the pairs themselves. Their number grows with the square of the memories that share tags."""
-    own = memories.select("id", F.explode(F.array_distinct("tags")).alias("t"))
-    other = own.select(F.col("id").alias("b"), "t")
-    return own.withColumnRenamed("id", "a").join(other, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    """(a, b, weight), a < b: the pairs themselves. Their number grows with the square of the memories that share tags.
+
+    Tag sets are compared as by shared_tags, so that the pairs are only written, never shuffled.
+    """
+    own, pairs = _tag_classes(memories)
+    near = pairs.where(F.col("common") >= least).select(F.col("a").alias("tags"), F.col("b").alias("others"), F.col("common").alias("weight"))
+    left = own.withColumnRenamed("id", "a").join(near, "tags").select("a", "others", "weight")
+    return left.join(own.select(F.col("id").alias("b"), F.col("tags").alias("others")), "others").where("a < b").select("a", "b", "weight")
 
 
 def typed(links: DataFrame, memories: DataFrame, domain, day: int = 86400) -> DataFrame:

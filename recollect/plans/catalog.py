@@ -389,10 +389,16 @@ def running_stats(a):
 
 @register("""pairs AS (SELECT a.id, len(list_intersect(list_distinct(a.tags), list_distinct(b.tags))) AS common FROM memories a JOIN memories b ON a.id <> b.id)
 SELECT id, count(*)::BIGINT AS n_edges, sum(common)::BIGINT AS weight FROM pairs WHERE common >= 2 GROUP BY id""")
-def shared_tag_edges(m):
+def shared_tag_counts(m):
     return graph.shared_tags(m)
 
 
+@register("""pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(list_distinct(a.tags), list_distinct(b.tags)))::BIGINT AS weight FROM memories a JOIN memories b ON a.id < b.id)
+SELECT a, b, weight FROM pairs WHERE weight >= 2""")
+def shared_tag_edges(m):
+    return graph.shared_tag_edges(m)
+
+
 # ---- links and traversals
 
 

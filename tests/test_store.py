@@ -113,6 +113,15 @@ def test_shared_tags_by_classes_and_by_pairs(spark):
     assert {r.id: r.n_edges for r in got} == n and {r.id: r.weight for r in got} == w
 
 
+def test_registered_edges_are_the_pairs(spark, tmp_path):
+    from recollect.plans import catalog
+
+    rows = [(1, "x", "en", "src1"), (5, "x", "en", "src2"), (9, "x", "fr", "src1"), (6, "x", "en", "src1"), (3, "x", None, "src3")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.weight for r in catalog.QUERIES["shared_tag_edges"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 5): 2, (1, 9): 2, (1, 6): 2}
+
+
 def test_version_roots_with_loops_and_gaps(spark):
     parents = {1: None, **{i: i - 1 for i in range(2, 40)}, 50: 51, 51: 50, 60: 99, 61: 60, 70: 70, 80: 50}
     m = nodes(spark, {i: ("x", 1, 0.5, p, []) for i, p in parents.items()})
