@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows of texts that Spark hands to a Python worker at once, and of numbers. Texts are long, and both sides hold several copies of a batch.
-BATCH, NUMBERS = 256, 8192
+from recollect.plans.shared import ship
+
 #: Bytes of text worked on at once, so that the temporaries stay in the cache; a longer document is one piece.
 PIECE = 1 << 20
 U = np.uint64
@@ -21,9 +21,9 @@ PLAIN = np.arange(256) > 32
 LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def map_batches(df: DataFrame, function, schema: str, rows: int = BATCH) -> DataFrame:
-    """df.mapInArrow(function, schema) with batches of at most so many rows. The setting counts when the result is written, before another one."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow(function, schema), with this package on the workers. Spark bounds the bytes of a batch; functions slice it further where they make more of it."""
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

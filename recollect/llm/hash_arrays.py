@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import NUMBERS, U, map_batches, mix
+from recollect.llm.arrays import U, map_batches, mix
 from recollect.plans.shared import local_path, shared_path
 
 #: Entries of one file.
@@ -60,7 +60,7 @@ def write(table: DataFrame, key: str, value: str, name: str) -> str:
             yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([len(own)])], ["part", "n"])
 
     # the keys are shuffled as they are: unlike their hashes they can be compressed, as they come sorted
-    parts = map_batches(table.select(F.col(key), F.col(value).cast("float")), hashed, "part int, k long, v float", NUMBERS)
+    parts = map_batches(table.select(F.col(key), F.col(value).cast("float")), hashed, "part int, k long, v float")
     stored = parts.repartitionById(1 << bits, F.col("part")).mapInArrow(save, "part int, n long")
     assert sum(r.n for r in stored.toLocalIterator()) == rows
     return folder

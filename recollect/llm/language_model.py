@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import hash_arrays
-from recollect.llm.arrays import LETTERS, NUMBERS, U, map_batches, pieces, span_hashes, words
+from recollect.llm.arrays import LETTERS, U, map_batches, pieces, span_hashes, words
 from recollect.plans.shared import local_path, shared_path, stage
 
 #: Symbols of an n-gram. A symbol is a word of the vocabulary, from WORD on; elsewhere a byte of UTF-8 plus 1; 0 before a text's begin, or END behind its last byte.
@@ -59,7 +59,7 @@ def vocabulary(docs: DataFrame, most: int = WORDS) -> str:
         hash_arrays._save(path, np.sort(h.view(U)))
         yield pa.RecordBatch.from_arrays([pa.array([len(h)])], ["n"])
 
-    map_batches(counted.where(F.col("c") >= least).select("h").repartition(1), save, "n long", NUMBERS).collect()
+    map_batches(counted.where(F.col("c") >= least).select("h").repartition(1), save, "n long").collect()
     return path
 
 

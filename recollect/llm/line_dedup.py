@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.arrays import BATCH, U, map_batches, mix
-from recollect.plans.shared import join_sized, stage
+from recollect.llm.arrays import U, map_batches, mix
+from recollect.plans.shared import join_sized, ship, stage
 
 #: Edits (insert, delete, replace a character) by which two lines may differ. The halves filter below is exact for 1.
 EDITS = 1
@@ -119,7 +119,7 @@ def drop_repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFram
     gone = repeated_lines(docs, min_fuzzy).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("line_no").alias("__gone"))
     gone = stage(gone, "gone")
     d = join_sized(docs, gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left", 80)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    ship(docs.sparkSession)
     left = _without(F.when(F.col("__gone").isNotNull(), F.col("text")), F.col("__gone"))
     d = d.withColumn("text", F.coalesce(left, "text")).where("__gone is null or text rlike '\\\\S'")
     if "n_chars" in docs.columns:

@@ -1,84 +1,81 @@
-"""Lempel-Ziv phrase fingerprints and pairs of documents with like phrases (operator 6)."""
+"""Lempel-Ziv phrase fingerprints and classes of documents with like phrases (operator 6)."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import U, binary, map_batches, minimum_hashes, mix, pieces
-from recollect.llm.signatures import near_pairs
+from recollect.llm.arrays import LETTERS, U, map_batches, mix, pieces, span_hashes
+from recollect.llm.near_dedup import narrow, signed
+from recollect.llm.signatures import classes
 
 #: Production parameters: minimum hashes of a fingerprint, and how many must agree.
-COORDINATES, LEAST = 64, 32
-
-
-def parse(text: bytes) -> list[int]:
-    """The LZ78 phrases of a text, each the shortest piece that isn't a phrase yet, as parent * 256 + last byte.
-
-    Phrases are numbered from 1 as they come; parent is the phrase without its last byte, 0 the empty one. A last piece
-    that is a phrase already adds none.
+COORDINATES, LEAST = 64, 36
+_TIMES, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every symbol, and each document's first (one entry more): runs of letters and digits; in scripts without spaces (from U+3000 on) every character."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    inside = LETTERS[data]
+    lead = (data < 128) | (data >= 192)
+    alone = data >= 0xE3
+    char = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))  # each byte's first one
+    after = np.zeros(len(data), bool)  # what stands before is a character alone, or no letter
+    after[1:] = ~inside[:-1] | alone[char[:-1]]
+    after[at[:-1][at[:-1] < len(data)]] = True
+    begins = inside & lead & (after | alone)
+    starts = np.flatnonzero(begins)
+    stops = np.append(begins | ~inside, True)  # where something else than the rest of a symbol stands
+    stops[at] = True
+    where = np.flatnonzero(stops)
+    return starts, where[np.searchsorted(where, starts, "right")], np.searchsorted(starts, at)
+
+
+def parse(symbols: list[int]) -> list[int]:
+    """The LZ78 phrases of a sequence of symbols, each the shortest piece that isn't a phrase yet, as 64-bit hashes.
+
+    A last piece that is a phrase already adds none.
     """
-    known: dict[int, int] = {}
-    get = known.get
-    node = size = 0
-    for c in text:
-        key = node + c
-        node = get(key)
-        if node is None:
-            size += 256
-            known[key] = size
+    known: dict[int, None] = {}
+    node = 0
+    for s in symbols:
+        key = node ^ s
+        if key in known:
+            node = key * _TIMES & _ALL
+        else:
+            known[key] = None
             node = 0
     return list(known)
 
 
-def phrase_hashes(keys: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every phrase's bytes. keys: phrases of several documents, as parse gives them; off: where each document's begin."""
-    base = np.repeat(off[:-1], np.diff(off))
-    parent, byte = keys >> 8, (keys & 255).astype(U)
-    h = mix(byte + U(1))
-    todo = np.flatnonzero(parent)
-    up = (base + parent - 1)[todo]
-    known = np.zeros(len(keys), bool)
-    known[parent == 0] = True
-    while len(todo):
-        ready = known[up]
-        now, of = todo[ready], up[ready]
-        h[now] = mix(h[of] * U(0x9E3779B97F4A7C15) + byte[now] + U(1))
-        todo, up = todo[~ready], up[~ready]
-        known[now] = True
-    return h
-
-
 def fingerprints(docs: DataFrame, k: int = COORDINATES) -> DataFrame:
-    """(doc_id, sig) for every row with a text that isn't empty: k minimum hashes of the set of its phrases."""
+    """(doc_id, th, sig) for every row with a doc_id: a hash of its text (null for a null one), and k minimum hashes of the set of its phrases, null without a word."""
 
     def sign(batches):
         for b in batches:
-            ids = b.column(0)
-            for i, j, data, at in pieces(b.column(1)):
-                raw, found = data.tobytes(), []
+            for i, j, data, at in pieces(b.column(2)):
+                starts, ends, first = symbols(data, at)
+                h, found = span_hashes(data, starts, ends).tolist(), []
                 off = np.zeros(j - i + 1, np.int64)
                 for d in range(j - i):
-                    found.extend(parse(raw[at[d] : at[d + 1]]))
+                    found.extend(parse(h[first[d] : first[d + 1]]))
                     off[d + 1] = len(found)
-                some = np.flatnonzero(np.diff(off))
-                if len(some):
-                    sig = minimum_hashes(phrase_hashes(np.array(found, np.int64), off), off, k)
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(some)), binary(sig[some])], ["doc_id", "sig"])
+                yield signed(b.slice(i, j - i), mix(np.array(found, U)), off, k)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return map_batches(narrow, sign, "doc_id long, sig binary")
+    return map_batches(narrow(docs), sign, "doc_id long, th long, sig binary")
 
 
 def similar_documents(docs: DataFrame, k: int = COORDINATES, least: int = LEAST) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b: documents whose fingerprints agree in at least `least` of k minimum hashes.
-
-    matches / k estimates the Jaccard similarity of the sets of phrases, which follows how well one text helps to
-    compress the other. Every document is compared with all; no such pair is missed. Documents with one and the same
-    fingerprint are each paired with the smallest doc_id among them only. Rows with null doc_id or null or empty text
-    are in no pair; a doc_id is never paired with itself, however often it occurs. An empty table gives no pairs.
-    Other columns are not read, whatever their names.
+    """(doc_id, class_id, links), one row for every document: the smallest doc_id of the class that its links connect it with, and how many they are.
+
+    Two documents are linked if their fingerprints agree in at least `least` of k minimum hashes. The share that agrees
+    estimates the Jaccard similarity of the sets of phrases, which follows how well one text helps to compress the other.
+    Every document is compared with all; all links count, those of copies too, though none is written out; see
+    signatures.classes. A document is a doc_id with a text: rows that repeat both are one, a doc_id with several texts has
+    a row for each. Null, empty and wordless texts have no links and are a class of their own. Rows with null doc_id are
+    left out. An empty table gives no rows. Other columns are not read, whatever their names.
     """
-    return near_pairs(fingerprints(docs, k), k, least)
+    return classes(fingerprints(docs, k), k, least).select("doc_id", F.col("first.doc_id").alias("class_id"), "links")

@@ -1,4 +1,4 @@
-"""All pairs of documents whose signatures agree in enough coordinates, by an inverted join that misses none."""
+"""With how many others each document's signature agrees in enough coordinates, and the classes this makes; by an inverted join that misses none."""
 
 from __future__ import annotations
 
@@ -7,15 +7,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import NUMBERS, U, map_batches, mix
-from recollect.plans.shared import join_sized, stage
+from recollect.llm.arrays import U, map_batches, mix
+from recollect.plans.shared import discard, join_sized, stage
 
 #: Size of the sketch of how many documents have a coordinate-value pair. It orders the pairs; any order is right, a closer one is faster.
 SKETCH = 1 << 16
+#: Documents of a longer posting list are compared in blocks of about so many, each two blocks in a piece of their own.
+BLOCK = 4096
+#: Pairs compared at once.
+PAIRS = 1 << 15
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, k)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros((0, k), np.uint32)
+    at = int(np.frombuffer(offsets, np.int32)[column.offset])
+    return np.frombuffer(data, np.uint32, len(column) * k, at).reshape(-1, k)
 
 
 def _elements(sig: np.ndarray) -> np.ndarray:
@@ -23,22 +33,105 @@ def _elements(sig: np.ndarray) -> np.ndarray:
     return mix((np.arange(sig.shape[1], dtype=U) << U(32)) | sig.astype(U))
 
 
-def near_pairs(sigs: DataFrame, k: int, least: int, extra: int = 4) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b: pairs agreeing in at least `least` of k coordinates.
+def _connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest that the links a-b connect it with."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def compare_lists(k: int, least: int, block_pairs: int = PAIRS):
+    """Batches of (element, lo, hi, side, g, before, n, sig), sorted by element, lo, hi and side, to (g, links, root).
+
+    Rows of one (element, lo, hi) are compared: all with one another where lo = hi, else those of side 0 with those of
+    side 1. A pair counts at the first of the elements that both are posted under (before: the coordinates of those that
+    precede, as bits), and only if `least` coordinates agree. links: documents that g agrees with; root: the smallest g
+    that the batch connects it with.
+    """
 
-    sigs: (doc_id, sig), sig holding k uint32. Documents with one and the same signature are linked to the
-    smallest of them only, which stands for all (k matches); so a group of copies makes a star, not a clique.
-    For the others, each document is posted under its k - least + extra rarest coordinate-value pairs (prefix);
-    two documents agreeing in `least` coordinates meet in at least `extra` of these, so pairs that meet less
-    often are skipped unmerged; the rest are compared in full. Nothing is capped and no pair is lost.
+    def work(lo, hi, side, new, g, before, n, sig):
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(new)))
+        end = np.repeat(start + size, size)
+        own = lo == hi
+        ones = np.add.reduceat(side, start)
+        begin = np.where(own, np.arange(len(new)) + 1, end - np.repeat(ones, size))
+        count = np.where(own | (side == 0), end - begin, 0)
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids, node = np.unique(g, return_inverse=True)
+        links, pairs = np.zeros(len(ids), np.int64), []
+        i0 = 0
+        while i0 < len(new):
+            i1 = max(i0 + 1, int(np.searchsorted(total, total[i0] + block_pairs, "right")) - 1)
+            i = np.repeat(np.arange(i0, i1), count[i0:i1])
+            j = np.arange(total[i1] - total[i0]) - np.repeat(total[i0:i1] - total[i0] - begin[i0:i1], count[i0:i1])
+            i0 = i1
+            if not len(i):
+                continue
+            bits = np.packbits(sig[i] == sig[j], axis=1, bitorder="little")
+            bits = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, 8 - bits.shape[1])))).view("<u8")[:, 0]
+            ok = (np.bitwise_count(bits) >= least) & ((bits & before[i]) == 0)
+            if ok.any():
+                a, b = i[ok], j[ok]
+                links += np.bincount(node[a], n[b], len(ids)).astype(np.int64) + np.bincount(node[b], n[a], len(ids)).astype(np.int64)
+                pairs.append(np.unique(np.stack([node[a], node[b]]), axis=1))
+        if pairs:
+            a, b = np.concatenate(pairs, 1)
+            some, low = np.flatnonzero(links), _connected(len(ids), a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[low[some]])], ["g", "links", "root"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = [b.column(c).to_numpy() for c in range(7)] + [_matrix(b.column(7), k)]
+            held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+            e, lo, hi = held[:3]
+            new = np.ones(len(e), bool)
+            new[1:] = (e[1:] != e[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield from work(*(x[:last] for x in (lo, hi, held[3].astype(np.int64), new, held[4], held[5].view(U), held[6], held[7])))
+                held = [x[last:] for x in held]
+        if held is not None:
+            new = np.zeros(len(held[0]), bool)
+            new[0] = True
+            yield from work(held[1], held[2], held[3].astype(np.int64), new, held[4], held[5].view(U), held[6], held[7])
+
+    return run
+
+
+def classes(sigs: DataFrame, k: int, least: int, block: int = BLOCK) -> DataFrame:
+    """(doc_id, th, signed, first, links), one row for each different (doc_id, th): its class and its links.
+
+    sigs: (doc_id, th, sig), th a hash of the text, sig holding k uint32 (64 at most) or null. Two documents are linked
+    if at least `least` coordinates agree; links counts them all, copies too; a class is what links connect, and first
+    the smallest (doc_id, th) in it. Documents without a signature (signed false) have none and stand alone.
+
+    Documents with one and the same signature are one group, so copies cost nothing more. Each group is posted under its
+    k - least + 1 rarest coordinate-value pairs (prefix): two that agree in `least` coordinates share one of these. What is
+    posted under one pair is compared in blocks, and two groups only at the first pair that they share; other meetings are
+    skipped. Counts and connections are added up within tasks, so no pair of documents is ever written or shuffled.
+    Nothing is capped and no link is lost. n groups that all agree in a pair cost n * n / 2 comparisons of signatures.
     """
+    if k > 64:
+        raise ValueError("a signature has 64 coordinates at most")
     spark = sigs.sparkSession
-    keyed = sigs.withColumns({"x": F.xxhash64("sig"), "y": F.xxhash64(F.lit(1), "sig")})
-    keyed = stage(keyed, "signatures")
-    groups = stage(keyed.groupBy("x", "y").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("n")), "distinct")
-    several = stage(groups.where("n > 1").select("x", "y", "rep"), "copies")
-    same = join_sized(keyed.select("doc_id", "x", "y"), several, ["x", "y"], "inner", 40).where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(k).alias("matches"))
-    reps = groups.select(F.col("rep").alias("doc_id"), "sig")
+    signed = F.col("sig").isNotNull()
+    keyed = stage(sigs.withColumns({"x": F.when(signed, F.xxhash64("sig")), "y": F.when(signed, F.xxhash64(F.lit(1), "sig"))}), "signatures")
+    members = stage(keyed.select("doc_id", "th", "x", "y").distinct(), "members")
+    count = members.where("x is not null").groupBy("x", "y").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("n"))
+    one = keyed.where("x is not null").groupBy("x", "y").agg(F.first("sig").alias("sig"))
+    groups = stage(count.join(one, ["x", "y"]).withColumn("g", F.monotonically_increasing_id()), "groups")
+    discard(keyed)
+    reps = groups.select("g", "sig")
 
     def tally(batches):
         total = np.zeros(SKETCH, np.int64)
@@ -49,43 +142,47 @@ def near_pairs(sigs: DataFrame, k: int, least: int, extra: int = 4) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
     often = np.zeros(SKETCH, np.int64)
-    for r in map_batches(reps.select("sig"), tally, "bucket long, n long", NUMBERS).groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in map_batches(reps.select("sig"), tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         often[r.bucket] = r.n
     often = spark.sparkContext.broadcast(often)
-    prefix = min(k, k - least + extra)
+    prefix = k - least + 1
 
     def post(batches):
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 c = b.slice(i, 4096)
                 e = _elements(_matrix(c.column(1), k))
-                # the order is by the sketch's count, then by the element itself: the same for every document
-                n = often.value[(e & U(SKETCH - 1)).astype(np.int64)].astype(U)
-                rank = (np.minimum(n, U((1 << 31) - 1)) << U(32)) | (e >> U(32))
-                chosen = np.take_along_axis(e, np.argpartition(rank, prefix - 1, axis=1)[:, :prefix], 1) if prefix < k else e
+                # by the sketch's count, then by the element itself: the same order for every document
+                chosen = np.lexsort((e, often.value[(e & U(SKETCH - 1)).astype(np.int64)]), axis=1)[:, :prefix]
+                bit = U(1) << chosen.astype(U)
+                before = np.cumsum(bit, axis=1) - bit
                 ids = np.repeat(c.column(0).to_numpy(zero_copy_only=False), prefix)
-                yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), pa.array(ids)], ["element", "doc_id"])
-
-    lists = map_batches(reps, post, "element long, doc_id long", NUMBERS).groupBy("element").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) > 1")
-    each = lists.select("ids", F.posexplode("ids").alias("i", "doc_a")).where("i + 1 < size(ids)")
-    met = each.select("doc_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("doc_b"))
-    met = met.where("doc_a != doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("met")).where(F.col("met") >= min(extra, least))
-    both = met.select("doc_a", "doc_b").join(reps.toDF("doc_a", "sig_a"), "doc_a").join(reps.toDF("doc_b", "sig_b"), "doc_b")
-
-    def compare(batches):
-        for b in batches:
-            same = (_matrix(b.column("sig_a"), k) == _matrix(b.column("sig_b"), k)).sum(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_a"), b.column("doc_b"), pa.array(same)], ["doc_a", "doc_b", "matches"])
-
-    found = map_batches(both.select("doc_a", "doc_b", "sig_a", "sig_b"), compare, "doc_a long, doc_b long, matches int", NUMBERS).where(F.col("matches") >= least)
-    # a doc_id that occurs with several texts can give a pair more than once
-    return stage(found.unionByName(same).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches")), "pairs")
+                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(e, chosen, 1).ravel().view(np.int64)), pa.array(ids), pa.array(before.ravel().view(np.int64))], ["element", "g", "before"])
+
+    posts = map_batches(reps, post, "element long, g long, before long")
+    sizes = posts.groupBy("element").agg(F.count("*").alias("size")).where("size > 1")
+    met = posts.join(sizes, "element").join(groups.select("g", "n", "sig"), "g")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    met = met.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("g"), blocks).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("element", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "g", "before", "n", "sig")
+    met = met.repartition("element", "lo", "hi").sortWithinPartitions("element", "lo", "hi", "side")
+    found = stage(map_batches(met, compare_lists(k, least), "g long, links long, root long"), "links")
+
+    roots = stage(components(found.select(F.col("g").alias("doc_a"), F.col("root").alias("doc_b"))), "roots")
+    linked = join_sized(found.groupBy("g").agg(F.sum("links").alias("links")), roots.toDF("g", "root"), "g", "left", 32)
+    linked = groups.drop("sig").join(linked, "g", "left").where("links is not null or n > 1").withColumn("root", F.coalesce("root", "g"))
+    linked = stage(linked, "linked")
+    least_of = stage(linked.groupBy("root").agg(F.min("first").alias("first")), "classes")
+    of = join_sized(linked.drop("first"), least_of, "root", "inner", 40).select("x", "y", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    of = stage(of, "known")
+    every = join_sized(members, of, ["x", "y"], "left", 56)
+    return every.select("doc_id", "th", F.col("x").isNotNull().alias("signed"), F.coalesce("first", F.struct("doc_id", "th")).alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(doc_id, root) for every document in a pair; root is the smallest doc_id that it is connected with.
+    """(doc_id, root) for every document in a pair (doc_a, doc_b) that isn't its own root; root is the smallest doc_id that it is connected with.
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until nothing changes.
+    Alternating large-star and small-star rounds, each written to the shared folder in place of the last, until nothing changes.
     """
     e = pairs.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u != v").distinct()
     e = stage(e, "edges")
@@ -97,7 +194,8 @@ def components(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u")
         small = met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stage(small.where("u != v").distinct(), "edges")
+        last, e = e, stage(small.where("u != v").distinct(), "edges")
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return e.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import BATCH, PIECE, PLAIN, pieces
-from recollect.plans.shared import stage
+from recollect.llm.arrays import PIECE, PLAIN, pieces
+from recollect.plans.shared import ship, stage
 
 #: Lengths in bytes of the character n-grams of a word, white space before and after it included.
 ORDERS = (3, 4, 5, 6)
@@ -223,7 +223,7 @@ def _low(text: str) -> F.Column:
 def _odds(spark: SparkSession, model: Model):
     """A function of lower-cased texts: the log-odds of the worst window above the cut, null without a word."""
     shipped = spark.sparkContext.broadcast((model.table(), float(model.bias[1] - model.bias[0]), model.cut))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    ship(spark)
 
     @F.arrow_udf("double")
     def odds(text: pa.Array) -> pa.Array:

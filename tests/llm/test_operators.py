@@ -362,42 +362,63 @@ def test_packing_of_odd_rows(spark, odd):
 # ---- 6 phrases
 
 
-def lz78(data):
-    seen, word = set(), b""
-    for c in data:
-        word += bytes([c])
+def lz78(symbols):
+    seen, word = set(), ()
+    for c in symbols:
+        word += (c,)
         if word not in seen:
             seen.add(word)
-            word = b""
+            word = ()
     return seen
 
 
 def test_phrases_are_those_of_the_parse():
     rng = random.Random(8)
-    texts = [prose(rng, n).encode() for n in (1, 30, 200)] + [b"a" * 500, b""]
-    keys, off = [], [0]
-    for t in texts:
-        keys += phrases.parse(t)
-        off.append(len(keys))
-    h = phrases.phrase_hashes(np.array(keys, np.int64), np.array(off))
+    ids = {w: rng.getrandbits(64) for w in WORDS[:12]}
     names = {}
-    for i, t in enumerate(texts):
-        own, strings = keys[off[i] : off[i + 1]], {0: b""}
-        for n, k in enumerate(own, 1):
-            strings[n] = strings[k >> 8] + bytes([k & 255])
-            assert names.setdefault(strings[n], h[off[i] + n - 1]) == h[off[i] + n - 1]
-        assert {*strings.values()} - {b""} == lz78(t)
-    assert len({*map(int, names.values())}) == len(names)
-
-
-def signature_pairs(rows, k, least):
-    sig = {r.doc_id: np.frombuffer(bytes(r.sig), np.uint32) for r in rows}
-    ids = sorted(sig)
-    return {(a, b): n for i, a in enumerate(ids) for b in ids[i + 1 :] if (n := int((sig[a] == sig[b]).sum())) >= least}, sig
+    for n in (0, 1, 30, 400):
+        text = [rng.choice(WORDS[:12]) for _ in range(n)]
+        got, want = phrases.parse([ids[w] for w in text]), lz78(text)
+        assert len({*got}) == len(got) == len(want)
+        for phrase in want:  # equal phrases have equal hashes wherever they stand
+            h = 0
+            for i, w in enumerate(phrase):
+                h = (h * phrases._TIMES & phrases._ALL if i else 0) ^ ids[w]
+            assert h in got and names.setdefault(phrase, h) == h
+    assert len({*names.values()}) == len(names) > 100
+
+
+def test_symbols_of_scripts_with_and_without_spaces():
+    texts = ["ab  cd-e1", "", "é\u00e0 x", "中文abc字", "a\U0001f600b", "  ", "かな", "ю"]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts, ends, first = phrases.symbols(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    got = [[data[s:e].tobytes().decode() for s, e in zip(starts[a:b], ends[a:b])] for a, b in zip(first[:-1], first[1:])]
+    assert got == [["ab", "cd", "e1"], [], ["é\u00e0", "x"], ["中", "文", "abc", "字"], ["a", "\U0001f600", "b"], [], ["か", "な"], ["ю"]]
+
+
+def classes_by_hand(rows, least):
+    """{(doc_id, th): (class_id, links)} of (doc_id, th, sig) by comparing all."""
+    docs = {(r.doc_id, r.th): None if r.sig is None else np.frombuffer(bytes(r.sig), np.uint32) for r in rows}
+    keys, links, root = [*docs], Counter(), {d: d for d in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if docs[a] is not None and docs[b] is not None and (docs[a] == docs[b]).sum() >= least:
+                links[a] += 1
+                links[b] += 1
+                low, high = sorted((find(a), find(b)), key=lambda d: (d[0], d[1]))
+                root[high] = low
+    return {d: (find(d)[0], links[d]) for d in docs}
 
 
 @pytest.mark.parametrize("kind", ["phrases", "near"])
-def test_signature_join_misses_no_pair(spark, kind):
+def test_signature_join_misses_no_link(spark, kind):
     rng = random.Random(9)
     base = [prose(rng, rng.randint(3, 120)) for _ in range(25)]
     texts = {i: changed(rng, rng.choice(base), rng.choice([0, 0, 0.02, 0.1, 0.3])) for i in range(150)}
@@ -406,12 +427,24 @@ def test_signature_join_misses_no_pair(spark, kind):
         found, sigs, least = near_dedup.near_duplicates(docs), near_dedup.signatures(docs), near_dedup.LEAST
     else:
         found, sigs, least = phrases.similar_documents(docs), phrases.fingerprints(docs), phrases.LEAST
-    want, sig = signature_pairs(sigs.collect(), 64, least)
-    rep = {}
-    for i in sorted(sig):
-        rep.setdefault(sig[i].tobytes(), i)
-    want = {(a, b): n for (a, b), n in want.items() if a == rep[sig[a].tobytes()] and (n == 64 or b == rep[sig[b].tobytes()])}
-    assert {(r.doc_a, r.doc_b): r.matches for r in found.collect()} == want and len(want) > 50
+    want = classes_by_hand(sigs.collect(), least)
+    got = {r.doc_id: (r.class_id, r.links) for r in found.collect()}
+    assert got == {d: v for (d, _), v in want.items()} and sum(n for _, n in got.values()) > 100
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_signature_join_with_a_value_that_all_share(spark, block):
+    from recollect.llm.signatures import classes
+
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 1 << 32, (6, 16), dtype=np.uint64).astype(np.uint32)[rng.integers(0, 6, 200)]
+    sigs[rng.random(sigs.shape) < 0.25] = 7
+    sigs[:, 5] = 1  # one posting list with every document
+    rows = spark.createDataFrame([(i % 150, i, bytearray(s.tobytes()) if i % 40 else None) for i, s in enumerate(sigs)], "doc_id long, th long, sig binary")
+    want = classes_by_hand(rows.collect(), 9)
+    got = classes(rows, 16, 9, block).collect()
+    assert {(r.doc_id, r.th): (r.first.doc_id, r.links) for r in got} == want and len(got) == 200
+    assert len({v for v in want.values()}) > 10
 
 
 def test_minimum_hashes_estimate_similarity(spark):
@@ -430,7 +463,8 @@ def test_minimum_hashes_estimate_similarity(spark):
 
 
 def test_phrases_of_odd_rows(spark, odd):
-    assert (4, 5, 64) in {tuple(r) for r in phrases.similar_documents(odd).collect()}
+    got = sorted((r.doc_id, r.class_id, r.links) for r in phrases.similar_documents(odd).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (5, 4, 1), (6, 6, 0), (7, 7, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)]
     assert phrases.similar_documents(empty(odd)).count() == 0
 
 
@@ -541,13 +575,25 @@ def test_components_of_a_chain(spark):
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
-    assert {(r.doc_a, r.doc_b) for r in near_dedup.near_duplicates(odd).collect()} == {(4, 5)}
+    got = sorted((r.doc_id, r.class_id, r.links) for r in near_dedup.near_duplicates(odd).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (5, 4, 1), (6, 6, 0), (7, 7, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)]
     kept = near_dedup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 2, None: 2, 2: 1, 3: 1, 4: 1, 6: 1, 7: 2, 8: 1, 9: 1})
     assert near_dedup.near_duplicates(empty(odd)).count() == 0 and near_dedup.drop_near_duplicates(empty(odd)).count() == 0
 
 
+def test_no_row_is_lost_with_a_near_duplicate(spark):
+    rng = random.Random(14)
+    a, b = prose(rng, 90), prose(rng, 90)
+    docs = table(spark, [(1, None), (1, None), (2, ""), (2, ""), (3, a), (4, a), (4, b), (4, b), (None, a), (None, a)])
+    for x in ("doc", "TH", "_th"):
+        docs = docs.withColumn(x, F.lit(1))
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(1, None): 2, (2, ""): 2, (3, a): 1, (4, b): 1, (None, a): 2})
+
+
 # ---- 10 languages
 
 
