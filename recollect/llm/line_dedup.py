@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm.arrays import U, map_batches, mix
-from recollect.plans.shared import join_sized, ship, stage
+from recollect.plans.shared import discard, join_sized, stage, unused
 
-#: Edits (insert, delete, replace a character) by which two lines may differ. The halves filter below is exact for 1.
-EDITS = 1
-#: Lines shorter than this many characters must be equal to count as repeated.
-MIN_FUZZY = 20
+#: Lines shorter than this many characters must be equal to count as repeated; 0: none.
+MIN_FUZZY = 0
+#: What stands in a line that isn't blank.
+SOLID = "[^ \\t\\r\\f\\x0B]"
 _B = 0xD6E8FEB86659FD93 | 1
 
 
@@ -22,7 +22,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """One row a line that isn't blank. A document is known by doc_id and a hash of its text; nulls have none."""
     d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     lines = d.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where("trim(line) != ''")
+    return lines.where(F.col("line").rlike(SOLID))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def _halves(line: str = "line") -> list:
 
 
 def variant_hashes(line: str) -> np.ndarray:
-    """Hashes of the line and of every string that deleting one character of it leaves."""
+    """Hashes of what deleting each character of the line leaves, in order, and of the line itself, the last."""
     c = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(U) + U(1)
     n = len(c)
     power = np.ones(n + 1, U)
@@ -50,17 +50,59 @@ def variant_hashes(line: str) -> np.ndarray:
     np.cumsum(c * power[:n], out=sums[1:])
     # without character i: what precedes, and what follows moved down by one place
     left = sums[:n] + (sums[n] - sums[1:]) * U(pow(_B, -1, 1 << 64))
-    return mix(np.concatenate([np.unique(left), sums[n:]]))
+    return mix(np.append(left, sums[n:]))
+
+
+def _earliest(batches):
+    """Batches of (v, i, id), sorted, to (id, target): the smallest id of another line that meets it under v, if it is smaller.
+
+    i is the place of the deleted character, -1 for a whole line. Lines meet if they lack the same character (then they
+    differ in that one at most), or if one is what deleting a character of the other leaves.
+    """
+
+    def work(v, i, ids):
+        run = np.ones(len(v), bool)
+        run[1:] = (v[1:] != v[:-1]) | (i[1:] != i[:-1])
+        start = np.flatnonzero(run)
+        low = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(v))))
+        group = np.ones(len(v), bool)
+        group[1:] = v[1:] != v[:-1]
+        start = np.flatnonzero(group)
+        size = np.diff(np.append(start, len(v)))
+        far = np.int64(1 << 62)
+        whole = np.repeat(np.where(i[start] < 0, ids[start], far), size)
+        cut = np.repeat(np.minimum.reduceat(np.where(i < 0, far, ids), start), size)
+        target = np.where(i < 0, cut, np.minimum(low, whole))
+        keep = target < ids
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(target[keep])], ["id", "target"])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = [b.column(c).to_numpy() for c in range(3)]
+        held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if last:
+            yield from work(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+    if held is not None:
+        yield from work(*held)
 
 
 def repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     """(doc_id, line_no, th, first_doc_id, first_line_no, edits): every line to remove, and the earliest line that it repeats.
 
     Places are ordered by doc_id, hash of the text, line number (from 0). Of equal lines the first stays. A distinct
-    line of min_fuzzy characters or more whose first place lies after that of another line at edit distance 1 goes
-    wherever it stands (edits 1); this isn't followed on from line to line: also a line that itself goes counts as the earlier one.
-    Blank lines, and rows with null doc_id or text, are left alone. Rows that repeat a doc_id and text are one document.
-    An empty table has no repeated lines. Other columns are not read, whatever their names.
+    line whose first place lies after that of another line at edit distance 1 goes wherever it stands (edits 1); this isn't
+    followed on from line to line: also a line that itself goes counts as the earlier one. Lines of fewer than min_fuzzy
+    characters must be equal. Lines of nothing but white space, and rows with null doc_id or text, are left alone. Rows that
+    repeat a doc_id and text are one document. An empty table has no repeated lines. Other columns are not read, whatever
+    their names.
+
+    Every line that shares a half with another is posted under the hashes of what deleting one character leaves, and
+    under its own. What meets is reduced to its earliest line where it meets, so no pairs are formed; the edit distance to
+    that line is verified.
     """
     lines = _hashed(docs)
     keys = F.when(F.length("line") >= min_fuzzy, F.array(*_halves()))
@@ -72,27 +114,32 @@ def repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     near = stage(halves.join(shared, "key", "left_semi").select("h", "g", "first").distinct(), "suspects")
     text = join_sized(_lines(docs), near.select("h", "g", "first.*"), ["doc_id", "th", "line_no"], "inner", 64)
-    text = stage(text.select("h", "g", F.struct("doc_id", "th", "line_no").alias("first"), "line").dropDuplicates(["h", "g"]), "texts")
+    text = text.select("h", "g", F.struct("doc_id", "th", "line_no").alias("first"), "line").dropDuplicates(["h", "g"])
+    # range-partitioned and sorted by place, so that a smaller id is an earlier line
+    text = stage(text.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id()), "texts")
 
     def vary(batches):
         for b in batches:
-            h, g, lines = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
-            for i, line in enumerate(lines):
-                v = variant_hashes(line).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h[i], len(v))), pa.array(np.repeat(g[i], len(v))), pa.array(v)], ["h", "g", "v"])
-
-    variants = map_batches(text.select("h", "g", "line"), vary, "h long, g long, v long")
-    met = variants.groupBy("v").agg(F.collect_set(F.struct("h", "g")).alias("ids")).where("size(ids) > 1")
-    met = met.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b").distinct()
-    pairs = met.select("a.h", "a.g", F.col("b.h").alias("h2"), F.col("b.g").alias("g2"))
-    other = text.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("first").alias("first2"), F.col("line").alias("line2"))
-    pairs = pairs.join(text, ["h", "g"]).join(other, ["h2", "g2"]).where(F.levenshtein("line", "line2", EDITS).between(0, EDITS))
-    late = F.col("first") > F.col("first2")
-    later = pairs.select(F.when(late, F.struct("h", "g")).otherwise(F.struct(F.col("h2").alias("h"), F.col("g2").alias("g"))).alias("x"), F.least("first", "first2").alias("target"))
-    later = stage(later.groupBy("x").agg(F.min("target").alias("target")).select("x.h", "x.g", "target"), "later")
+            out = []
+            for i, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = variant_hashes(line)
+                out.append((v, np.append(np.arange(len(v) - 1, dtype=np.int32), np.int32(-1)), np.full(len(v), i)))
+                if sum(len(x[0]) for x in out) > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(t)) for x, t in zip(zip(*out), (np.int64, np.int32, np.int64))], ["v", "i", "id"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(t)) for x, t in zip(zip(*out), (np.int64, np.int32, np.int64))], ["v", "i", "id"])
+
+    variants = map_batches(text.select("id", "line"), vary, "v long, i int, id long")
+    met = map_batches(variants.repartition("v").sortWithinPartitions("v", "i"), _earliest, "id long, target long")
+    met = stage(met.groupBy("id").agg(F.min("target").alias("target")), "met")
+    other = text.select(F.col("id").alias("target"), F.col("first").alias("to"), F.col("line").alias("line2"))
+    later = met.join(text.select("id", "h", "g", "line"), "id").join(other, "target").where(F.levenshtein("line", "line2", 1) == 1)
+    later = stage(later.select("h", "g", F.col("to").alias("target")), "later")
 
     rule = distinct.where("again").select("h", "g", "first").join(later, ["h", "g"], "full").select("h", "g", F.coalesce("target", "first").alias("to"), F.col("target").isNotNull().cast("int").alias("edits"))
     rule = stage(rule, "rules")
+    discard(distinct, near, text, met, later)
     gone = join_sized(lines.select("h", "g", "at"), rule, ["h", "g"], "inner", 72).where("edits = 1 or at != to")
     return gone.select("at.doc_id", "at.line_no", "at.th", F.col("to.doc_id").alias("first_doc_id"), F.col("to.line_no").alias("first_line_no"), "edits").distinct()
 
@@ -114,14 +161,15 @@ def drop_repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFram
     """docs with the repeated lines taken out of text, and n_chars, where there is one, set to what is left.
 
     A document of which no line is left that isn't blank goes; all others stay, as do all that had no such line before.
-    Rows with null doc_id or text are returned as they are.
+    Rows with null doc_id or text are returned as they are; rows that repeat a doc_id and text are treated alike. All other
+    columns are returned as they are, whatever their names. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, min_fuzzy).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("line_no").alias("__gone"))
+    i, t, lines = unused("doc", docs), unused("th", docs), unused("gone", docs)
+    gone = repeated_lines(docs, min_fuzzy).groupBy(F.col("doc_id").alias(i), F.col("th").alias(t)).agg(F.collect_list("line_no").alias(lines))
     gone = stage(gone, "gone")
-    d = join_sized(docs, gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left", 80)
-    ship(docs.sparkSession)
-    left = _without(F.when(F.col("__gone").isNotNull(), F.col("text")), F.col("__gone"))
-    d = d.withColumn("text", F.coalesce(left, "text")).where("__gone is null or text rlike '\\\\S'")
+    d = join_sized(docs, gone, (docs["doc_id"] == gone[i]) & (F.xxhash64(docs["text"]) == gone[t]), "left", 80)
+    left = _without(F.when(F.col(lines).isNotNull(), F.col("text")), F.col(lines))
+    d = d.withColumn("text", F.coalesce(left, "text")).where(F.col(lines).isNull() | F.col("text").rlike(SOLID))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*[d[c] for c in docs.columns])
+        d = d.withColumn("n_chars", F.when(F.col(lines).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return d.drop(i, t, lines)

@@ -26,7 +26,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, k: int = COORDINATES) ->
             for i, j, data, at in pieces(b.column(2)):
                 starts, ends, first = words(data, at, LETTERS)
                 g, off = grams(span_hashes(data, starts, ends), first, shingle, short=True)
-                yield signed(b.slice(i, j - i), g, off, k)
+                yield signed(b.slice(i, j - i), minimum_hashes(g, off, k), off)
 
     return map_batches(narrow(docs), sign, "doc_id long, th long, sig binary")
 
@@ -36,10 +36,10 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("th"), F.lower("text").alias("text"))
 
 
-def signed(rows: pa.RecordBatch, hashes: np.ndarray, off: np.ndarray, k: int) -> pa.RecordBatch:
-    """rows' first two columns and the minimum hashes of their sets; null for an empty one."""
+def signed(rows: pa.RecordBatch, sig: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    """rows' first two columns and their signatures; null where off says that there is nothing signed."""
     none = np.diff(off) == 0
-    sig = binary(minimum_hashes(hashes, off, k))
+    sig = binary(sig)
     if none.any():
         sig = sig.take(pa.array(np.arange(len(none)), mask=none))
     return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sig], ["doc_id", "th", "sig"])
