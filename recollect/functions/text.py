@@ -66,6 +66,19 @@ def content_words(c: Column) -> Column:
     return F.array_distinct(F.filter(words(c), lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x)))
 
 
+def has_word(low: Column, word: str) -> Column:
+    """Whether the word is among words(c), given c lower-cased; the text isn't taken apart, and only searched closely where the word occurs in it."""
+    if not re.fullmatch(r"\w+", word):
+        return F.lit(False)
+    return low.contains(word) & low.rlike(rf"(?U)(?<!\w){word}(?!\w)")
+
+
+def has_token(low: Column, token: str) -> Column:
+    """Whether the token is among tokens(c), given c lower-cased."""
+    quoted = "".join(x if x.isalnum() or ord(x) > 127 else "\\" + x for x in token)
+    return low.contains(token) & low.rlike(rf"(?:\A|\s){quoted}(?:\s|\z)")
+
+
 def strings(values) -> Column:
     """A constant array of strings, empty ones too."""
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.plans.shared import stage
+from recollect.plans.shared import discard, join_sized, stage
 
 SPREAD = 0.7
 #: Hops that are planned as one query; with more, each further hop's frontier is written to the shared folder.
@@ -107,23 +107,27 @@ def find_path(spark, links: DataFrame, start: int, goal: int, depth: int = 3, le
 def components(links: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, component): the smallest memory from which each can be reached over links of at least that weight; components of more than one.
 
-    Labels travel along links, and each round also from a label to its own label, so rounds grow with the logarithm
-    of the longest way where labels settle early. Every round is written to the shared folder.
+    Labels travel along links, from those that changed in the last round only, and every node then takes the label of its
+    label; so a round moves what is still in motion. Every round is written to the shared folder in place of the last.
     """
     edges = stage(links.where(F.col("weight") >= least).select("from_id", "to_id").distinct(), "edges")
     ids = edges.select(F.col("from_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("id"))).distinct()
-    labels = stage(ids.select("id", F.col("id").alias("label")), "labels")
+    labels = stage(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
-        over = edges.join(labels, edges["from_id"] == labels["id"]).select(F.col("to_id").alias("id"), "label")
-        moved = labels.select("id", "label", F.col("label").alias("old")).unionByName(over.withColumn("old", F.lit(None).cast("long")))
-        moved = moved.groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        labels = stage(moved.join(up, "label").select("id", F.least("label", "up").alias("label"), "old"), "labels")
-        if labels.where("label != old").isEmpty():
+        over = labels.where("moved").join(edges, labels["id"] == edges["from_id"]).select(F.col("to_id").alias("id"), "label", F.lit(None).cast("long").alias("old"))
+        new = labels.select("id", "label", F.col("label").alias("old")).unionByName(over).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        new = stage(new, "labels")
+        discard(labels)
+        changed = new.where("label != old").select("id", "label")
+        if changed.isEmpty():
+            labels = new
             break
-        labels = labels.select("id", "label")
-    w = Window.partitionBy("label")
-    return labels.withColumn("n", F.count("*").over(w)).where("n > 1").select("id", F.col("label").alias("component"))
+        up = changed.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        new_labels = new.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label"), (F.coalesce("up", "label") != F.col("old")).alias("moved"))
+        labels = stage(new_labels, "labels")
+        discard(new)
+    sizes = stage(labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "components")
+    return join_sized(labels.select("id", "label"), sizes, "label", "left_semi", 16).select("id", F.col("label").alias("component"))
 
 
 def linked(links: DataFrame, least: float = 0.0) -> DataFrame:

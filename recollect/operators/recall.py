@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.functions.fuzzy import best_ratio, partial_ratio
+from recollect.plans.shared import stage
 
 #: Digits to which scores are rounded before rows are ordered by them, so that ties are ties; these go by id.
 DIGITS = 6
@@ -47,38 +48,40 @@ def exact_tier(memories: DataFrame, q: T.Query, limit: int) -> DataFrame:
 
     A scan with a filter: no index is built and nothing is shuffled but the best rows of each task.
     """
-    token = T.index_terms(F.concat_ws(" ", memories["content"], F.array_join(memories["tags"], " ")))
-    found = memories.where(F.arrays_overlap(token, T.strings(q.original)))
+    low = F.lower(F.concat_ws(" ", memories["content"], F.array_join(memories["tags"], " ")))
+    found = memories.where(T.hits(q.original, lambda t: T.has_token(low, t)) > 0)
     return top(found.withColumn("score", F.round(exact_score(found, q), DIGITS)), "score", 2 * limit)
 
 
-def _term_counts(memories: DataFrame, terms) -> DataFrame:
-    """memories with an array tf: for each of the terms 1 as token and 1 as word that isn't a stopword."""
-    own = memories.withColumns({"__tokens": T.index_terms(F.col("content")), "__words": T.content_words(F.col("content"))})
-    tf = [F.array_contains("__tokens", t).cast("int") + F.array_contains("__words", t).cast("int") for t in terms]
-    return own.withColumn("tf", F.array(*tf))
+def vocabulary_size(memories: DataFrame) -> int:
+    """Distinct index terms and content words of all memories: a statistic of the store, of use to any number of queries."""
+    own = memories.select(F.explode(F.array_union(T.index_terms(F.col("content")), T.content_words(F.col("content")))).alias("t"))
+    return own.distinct().count()
 
 
-def tfidf_tier(memories: DataFrame, q: T.Query, limit: int, idf_basis: str = "terms", exclude: DataFrame | None = None) -> DataFrame:
-    """Tier 2: the sum of tf * ln(N / df) over the query's words; N is the number of distinct terms, or of documents.
+def tfidf_tier(memories: DataFrame, q: T.Query, limit: int, idf_basis: str = "terms", exclude: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """Tier 2: the sum of tf * ln(N / df) over the query's words; tf is 1 as token and 1 as word that isn't a stopword.
 
-    Document frequencies of the query's terms come from one pass that sends a single row; only N over terms needs a shuffle.
+    N is the number of distinct terms, or of documents; n, where it is known, saves counting it. One scan finds the
+    memories that have a term, of which (id, tf) is kept; from these come the document frequencies and the best rows, of
+    which a second scan fetches the columns.
     """
-    terms = q.processed or q.original
-    counted = _term_counts(memories, terms)
-    df = counted.agg(F.count("*").alias("docs"), *[F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    if idf_basis == "terms":
-        every = counted.select(F.explode(F.array_union("__tokens", "__words")).alias("t")).agg(F.count_distinct("t").alias("n"))
-    elif idf_basis == "docs":
-        every = df.select(F.col("docs").alias("n"))
-    else:
+    if idf_basis not in ("terms", "docs"):
         raise ValueError(f"idf_basis is terms or docs, not {idf_basis}")
-    stats = df.crossJoin(every)  # one row
-    score = reduce(lambda a, b: a + b, [F.when(F.col("tf")[i] > 0, F.col("tf")[i] * F.log(F.col("n") / F.col(f"df{i}"))).otherwise(0.0) for i in range(len(terms))], F.lit(0.0))
-    scored = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats)).withColumn("score", F.round(score, DIGITS))
+    terms = q.processed or q.original
+    low = F.lower("content")
+    inside = [(T.has_token(low, t).cast("int") if len(t) > 2 else F.lit(0)) + (T.has_word(low, t).cast("int") if len(t) > 2 and t not in T.STOPWORDS else F.lit(0)) for t in terms]
+    hit = reduce(lambda a, b: a | b, [low.contains(t) for t in terms], F.lit(False))
+    rows = stage(memories.where(hit).select("id", F.array(*inside).alias("tf")), "terms") if terms else memories.select("id", F.array(F.lit(0)).alias("tf")).where("1 = 0")
+    df = rows.agg(*[F.count_if(F.col("tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))]).first() if terms else ()
+    if n is None:
+        n = memories.count() if idf_basis == "docs" else vocabulary_size(memories)
+    score = reduce(lambda a, b: a + b, [F.when(F.col("tf")[i] > 0, F.col("tf")[i] * F.log(F.lit(n) / F.lit(df[i]))).otherwise(0.0) for i in range(len(terms)) if df[i]], F.lit(0.0))
+    scored = rows.where(F.exists("tf", lambda x: x > 0)).select("id", F.round(score, DIGITS).alias("score"))
     if exclude is not None:
         scored = scored.join(exclude.select("id"), "id", "left_anti")
-    return top(scored.select(*memories.columns, "score"), "score", limit)
+    best = top(scored, "score", limit)  # limit rows, so they may be broadcast
+    return memories.join(F.broadcast(best), "id").select(*memories.columns, "score").orderBy(F.desc("score"), "id")
 
 
 def phrase_score(m: DataFrame, q: T.Query) -> Column:
@@ -111,8 +114,7 @@ def recency(ts: Column, as_of: int) -> Column:
 def final_score(m: DataFrame, q: T.Query, as_of: int, mode: str, fuzzy: bool = False) -> Column:
     content = _content(m)
     bonus = F.when(content.contains(q.text), 0.5).otherwise(0.0)
-    own = T.words(m["content"])
-    share = _share(q.terms, lambda t: F.array_contains(own, t))
+    share = _share(q.terms, lambda t: T.has_word(content, t))
     near = partial_ratio(q.text)(content) / 100.0 if fuzzy and len(q.text) > 5 else F.lit(0.0)
     c = F.greatest(bonus + share * 0.7 + near * 0.3, bonus, share, near)
     a = F.least(F.lit(1.0), m["activation"])
@@ -135,34 +137,31 @@ def adaptive_threshold(q: T.Query, n: Column, context: str = "general", history:
     return F.greatest(F.lit(0.01), F.least(F.lit(0.6), x))
 
 
-def content_recall(memories: DataFrame, text: str, limit: int, as_of: int, mode: str = "balanced", fuzzy: bool = False) -> DataFrame:
+def content_recall(memories: DataFrame, text: str, limit: int, as_of: int, mode: str = "balanced", fuzzy: bool = False, n_terms: int | None = None, context: str = "general", history: tuple[float, ...] = ()) -> DataFrame:
     """(memories' columns, score): content recall over the tiers of a mode, ranked, cut by the adaptive threshold, best first.
 
-    A tier runs while those before found fewer than limit. Every tier keeps 2 * limit rows at most, so what is joined,
-    counted and broadcast between tiers is bounded by the query, not by the table. fuzzy=False leaves tier 4 out.
+    A tier runs only if those before found fewer than limit. Every tier keeps 2 * limit rows at most, which are written,
+    so what is joined, counted and broadcast between tiers is bounded by the query, not by the table. fuzzy=False leaves
+    tier 4 out. n_terms: vocabulary_size, where it is known.
     """
     q = T.query(text)
     run = {
         1: lambda seen: exact_tier(memories, q, limit),
-        2: lambda seen: tfidf_tier(memories, q, limit, exclude=seen),
+        2: lambda seen: tfidf_tier(memories, q, limit, exclude=seen, n=n_terms),
         3: lambda seen: phrase_tier(memories, q, limit, exclude=seen),
         4: lambda seen: fuzzy_tier(memories, q, limit, exclude=seen),
     }
-    found = None
+    found, n = None, 0
     for tier in MODES[mode]:
-        if tier == 4 and not fuzzy or tier == 3 and not q.phrases:
+        if tier == 4 and not fuzzy or tier == 3 and not q.phrases or n >= limit:
             continue
-        more = run[tier](F.broadcast(found) if found is not None else None)
-        if found is None:
-            found = more
-        else:
-            so_far = found.agg(F.count("*").alias("__found"))
-            found = found.unionByName(more.crossJoin(F.broadcast(so_far)).where(F.col("__found") < limit).drop("__found"))
+        more = stage(run[tier](F.broadcast(found) if found is not None else None), f"tier-{tier}")
+        found = more if found is None else found.unionByName(more)
+        n += more.count()
     if found is None:
         return memories.withColumn("score", F.lit(0.0)).where("1 = 0")
     found = found.withColumn("score", F.round(final_score(found, q, as_of, mode, fuzzy), DIGITS))
-    found = found.withColumn("__n", F.count("*").over(Window.partitionBy()))  # a few times limit rows at most
-    kept = found.where(F.col("activation") >= adaptive_threshold(q, F.col("__n"))).drop("__n")
+    kept = found.where(F.col("activation") >= adaptive_threshold(q, F.lit(n), context, history))
     return top(kept, "score", limit)
 
 
@@ -219,12 +218,17 @@ def legacy_score(m: DataFrame, terms, as_of: int) -> Column:
     return n * (1 + m["activation"]) * F.greatest(F.lit(0.5), 1 - age / 365.0)
 
 
+def word_hits(memories: DataFrame, want: list[str]) -> DataFrame:
+    """(id, n): how many of the words, repeats counted, a memory has, if any. What has none is left out before the words are looked for closely."""
+    low = F.lower("content")
+    some = reduce(lambda a, b: a | b, [low.contains(t) for t in {*want}], F.lit(False))
+    return memories.where(some).select("id", T.hits(want, lambda t: T.has_word(low, t)).alias("n")).where("n > 0")
+
+
 def seeds(memories: DataFrame, text: str) -> DataFrame:
     """(id, a): the share of the query's words, repeats counted, that a memory has; in proportion to the largest share."""
     want = [w for w in T.re.findall(r"\b\w+\b", text.lower())]
-    own = T.words(F.col("content"))
-    n = T.hits(want, lambda t: F.array_contains(own, t))
-    found = memories.select("id", n.alias("n")).where("n > 0")
+    found = stage(word_hits(memories, want), "hits")
     best = found.agg(F.max("n").alias("best"))
     return found.crossJoin(F.broadcast(best)).select("id", (F.col("n") / F.col("best")).alias("a"))
 
@@ -233,7 +237,7 @@ def trigger_recall(memories: DataFrame, links: DataFrame, text: str, limit: int,
     """(id, a): seeds of a text and what first-visit spreading adds, over memories that exist, best first."""
     from recollect.operators.graph import spread_first
 
-    spread = spread_first(seeds(memories, text), memories, links, boost=boost)
+    spread = spread_first(stage(seeds(memories, text), "seeds"), memories, links, boost=boost)
     found = spread.join(memories.select("id"), "id", "left_semi").withColumn("a", F.round("a", DIGITS))
     return top(found, "a", limit)
 

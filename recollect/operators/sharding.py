@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.operators import recall
+from recollect.plans.shared import stage
 
 POINTS = 100
 _DIGITS = 3
@@ -70,15 +72,43 @@ def search_tags(memories: DataFrame, tags: list[str], shards: list[str], limit:
     return recall.top(found.withColumn("__place", place).where(F.col("__place") <= 2 * limit).drop("__place"), "activation", limit)
 
 
+def _words(text: str) -> list[str]:
+    return re.findall(r"\b\w+\b", text.lower())
+
+
 def search_words(memories: DataFrame, text: str, shards: list[str], limit: int) -> DataFrame:
     """(id, shard, a): the share of the query's words, in proportion to the best of the shard; each shard's 2 * limit best, then the best."""
-    from recollect.functions import text as T
-
-    want = [w for w in T.re.findall(r"\b\w+\b", text.lower())]
-    own = T.words(F.col("content"))
-    n = T.hits(want, lambda t: F.array_contains(own, t))
-    m = assign(memories.select("id", n.alias("n")).where("n > 0"), "id", shards)
+    m = stage(assign(recall.word_hits(memories, _words(text)), "id", shards), "hits")
     best = m.groupBy("shard").agg(F.max("n").alias("best"))  # a row for each shard
-    m = m.join(F.broadcast(best), "shard").select("id", "shard", F.round(F.col("n") / F.col("best"), recall.DIGITS).alias("a"))
+    return _best(m.join(F.broadcast(best), "shard").select("id", "shard", F.round(F.col("n") / F.col("best"), recall.DIGITS).alias("a")), limit)
+
+
+def _best(m: DataFrame, limit: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("a"), "id"))
     return recall.top(m.withColumn("__place", place).where(F.col("__place") <= 2 * limit).drop("__place"), "a", limit)
+
+
+def search(memories: DataFrame, links: DataFrame, text: str, shards: list[str], limit: int, boost: float = 0.5) -> DataFrame:
+    """(id, shard, a): trigger recall within each shard, over its memories and the links between them; each shard's 2 * limit best, then the best."""
+    from recollect.operators.graph import spread_first
+
+    of = stage(assign(memories.select("id"), "id", shards), "shards")
+    hits = stage(recall.word_hits(memories, _words(text)).join(of, "id"), "hits")
+    best = hits.groupBy("shard").agg(F.max("n").alias("best"))  # a row for each shard
+    starts = stage(hits.join(F.broadcast(best), "shard").select("id", (F.col("n") / F.col("best")).alias("a")), "seeds")
+    inside = links.join(of.toDF("from_id", "s1"), "from_id").join(of.toDF("to_id", "s2"), "to_id").where("s1 = s2").select(*links.columns)
+    spread = spread_first(starts, of, stage(inside, "links"), boost=boost)
+    return _best(spread.join(of, "id").select("id", "shard", F.round("a", recall.DIGITS).alias("a")), limit)
+
+
+def routed(memories: DataFrame, ids: list[int], shards: list[str]) -> DataFrame:
+    """memories' columns and the shard that each id is looked up in; ids that don't exist give no row."""
+    at = assign(memories.sparkSession.createDataFrame([(i,) for i in ids], "id long"), "id", shards)
+    return memories.join(F.broadcast(at), "id").select(*memories.columns, "shard")
+
+
+def routed_upsert(memories: DataFrame, new: DataFrame, shards: list[str]) -> DataFrame:
+    """memories with new ones in place of those with the same id, and the shard that each is written to."""
+    from recollect.sources.store import upsert
+
+    return assign(upsert(memories, new), "id", shards)

@@ -198,13 +198,13 @@ def seed_words(m):
     return _rows(recall.seeds(m, TEXT), a=6)
 
 
-def _first_visit(starts: str, boost: float, hops: int = 3) -> str:
+def _first_visit(starts: str, boost: float, hops: int = 3, links: str = "links") -> str:
     out, seen = [f"reach0 AS (SELECT id, a, [id::BIGINT] AS way FROM {starts})"], "SELECT id FROM reach0"
     for h in range(1, hops + 1):
         x = f"a * weight * {0.7**h!r}::DOUBLE"
         out.append(
             f"""reach{h} AS (SELECT id, x * {boost}::DOUBLE AS a, way FROM (
-  SELECT to_id AS id, {x} AS x, list_append(way, pos::BIGINT) AS way FROM reach{h - 1} r JOIN links ON from_id = r.id JOIN memories mm ON mm.id = r.id WHERE {x} > 0.01)
+  SELECT to_id AS id, {x} AS x, list_append(way, pos::BIGINT) AS way FROM reach{h - 1} r JOIN {links} l ON from_id = r.id JOIN memories mm ON mm.id = r.id WHERE {x} > 0.01)
   WHERE id NOT IN ({seen}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY way) = 1)"""
         )
         seen += f" UNION ALL SELECT id FROM reach{h}"
@@ -288,7 +288,7 @@ SELECT query, round(hits / got, 6) AS precision, round(hits / want, 6) AS recall
 def retrieval_quality(m):
     """How well one frequent word of each language finds the memories of that language."""
     want = m.select(F.col("tags")[0].alias("query"), "id")
-    pairs = F.array(*[F.when(F.array_contains(T.words(F.col("content")), w), F.lit(d)) for d, w in (("en", "the"), ("de", "der"), ("fr", "les"), ("es", "los"))])
+    pairs = F.array(*[F.when(T.has_word(F.lower("content"), w), F.lit(d)) for d, w in (("en", "the"), ("de", "der"), ("fr", "les"), ("es", "los"))])
     got = m.select(F.explode(F.array_compact(pairs)).alias("query"), "id")
     return _rows(recall.quality(got, want), precision=6, recall=6, f1=6)
 
@@ -698,10 +698,32 @@ def shard_search_tags(m):
 @register(f"""{_SHARDED}, hits AS (SELECT id, shard, {_sum([f"(list_contains({_WORDS}, '{t}'))::INT" for t in TEXT.split()])} AS n FROM own),
 part AS (SELECT id, shard, round(n / (max(n) OVER (PARTITION BY shard))::DOUBLE, 6) AS a FROM hits WHERE n > 0)
 SELECT id, shard, a FROM part QUALIFY row_number() OVER (PARTITION BY shard ORDER BY a DESC, id) <= {2 * LIMIT} ORDER BY a DESC, id LIMIT {LIMIT}""")
-def shard_search(m):
+def shard_seed_words(m):
     return sharding.search_words(m, TEXT, SHARDS, LIMIT)
 
 
+@register(f"""{_SHARDED}, hits AS (SELECT id, shard, {_sum([f"(list_contains({_WORDS}, '{t}'))::INT" for t in TEXT.split()])} AS n FROM own),
+seeds AS (SELECT id, n / (max(n) OVER (PARTITION BY shard))::DOUBLE AS a FROM hits WHERE n > 0),
+inside AS (SELECT l.* FROM links l JOIN own a ON a.id = l.from_id JOIN own b ON b.id = l.to_id WHERE a.shard = b.shard),
+{_first_visit('seeds', 0.5, links='inside')},
+part AS (SELECT s.id, o.shard, round(a, 6) AS a FROM spread s JOIN own o ON o.id = s.id)
+SELECT id, shard, a FROM part QUALIFY row_number() OVER (PARTITION BY shard ORDER BY a DESC, id) <= {2 * LIMIT} ORDER BY a DESC, id LIMIT {LIMIT}""", "ml")
+def shard_search(m, l):
+    return sharding.search(m, l, TEXT, SHARDS, LIMIT)
+
+
+@register(f"{_SHARDED} SELECT id, content, shard FROM own WHERE id IN (7, 42, 99)")
+def shard_get(m):
+    return sharding.routed(m, [7, 42, 99, 1 << 40], SHARDS).select("id", "content", "shard")
+
+
+@register(f"{_SHARDED} SELECT id, CASE WHEN id % 10 = 0 THEN 'changed ' || content ELSE content END AS content, shard FROM own UNION ALL SELECT id + 1000000000, content, {_at('ring', 'id + 1000000000')} FROM own WHERE id % 50 = 0")
+def shard_upsert(m):
+    changed = m.where("id % 10 = 0").withColumn("content", F.concat(F.lit("changed "), "content"))
+    added = m.where("id % 50 = 0").withColumn("id", F.col("id") + 1000000000)
+    return sharding.routed_upsert(m, changed.unionByName(added), SHARDS).select("id", "content", "shard")
+
+
 # ---- text and records
 
 
@@ -714,12 +736,16 @@ _NOTAGS = _list(sorted(T.NO_TAGS))
 
 
 def _simple(most: int) -> str:
-    # DuckDB's list_distinct forgets the order: places of first appearance bring it back
-    found = f"list_filter({_WORDS}, lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains({_NOTAGS}, w))"
-    return f"list_filter({found}, lambda w, i: list_position({found}, w) = i)[1:{most}]"
+    return f"""placed AS (
+  SELECT id, w, min(i) AS i FROM (
+    SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+      SELECT id, list_filter({_WORDS}, lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains({_NOTAGS}, w)) AS ws FROM memories))
+  GROUP BY id, w
+), firsts AS (SELECT id, list(w ORDER BY i)[1:{most}] AS t FROM placed GROUP BY id),
+tagged AS (SELECT m.id, version_of, coalesce(t, []) AS t FROM memories m LEFT JOIN firsts f ON f.id = m.id)"""
 
 
-@register(f"SELECT id, array_to_string({_simple(10)}, ',') AS tags FROM memories")
+@register(f"{_simple(10)} SELECT id, array_to_string(t, ',') AS tags FROM tagged")
 def simple_tags(m):
     return m.select("id", F.array_join(T.simple_tags(F.col("content")), ",").alias("tags"))
 
@@ -732,7 +758,7 @@ def extract_tags(m):
     return m.select("id", F.array_join(T.name_tags(F.col("content")), ",").alias("tags"))
 
 
-@register(f"""tagged AS (SELECT id, version_of, {_simple(50)} AS t FROM memories)
+@register(f"""{_simple(50)}
 SELECT a.id, b.id AS other, round(CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END::DOUBLE, 6) AS similarity FROM tagged a JOIN tagged b ON b.id = a.version_of""")
 def jaccard_pairs(m):
     """Every memory against the one that it is a version of."""
