@@ -135,6 +135,18 @@ def minimum_hashes(h: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
     return sig
 
 
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 texts as numbers, and each text's first (one entry more)."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    b = padded[start]
+    size = 1 + (b >= 0xC0).astype(np.int8) + (b >= 0xE0) + (b >= 0xF0)
+    c = np.where(size == 1, b, b & (np.uint32(0x7F) >> size.astype(np.uint32)))
+    for k in (1, 2, 3):
+        c = np.where(size > k, c << np.uint32(6) | padded[start + k] & 63, c)
+    return c.astype(np.uint32), np.searchsorted(start, at)
+
+
 def binary(rows: np.ndarray) -> pa.Array:
     """A two-dimensional array as one binary value a row."""
     rows = np.ascontiguousarray(rows)

@@ -7,19 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.arrays import map_batches, pieces
+from recollect.llm.arrays import code_points, map_batches, pieces
 from recollect.plans.shared import join_sized, stage
 
-#: Lengths of the n-grams, over the bytes of the lower-cased text with a space before and after it.
+#: Lengths of the n-grams, over the characters of the lower-cased text with a space before and after it.
 ORDERS = (2, 3, 4)
 BITS = 16
-#: Labelled documents of each language that training may use: the bound of the sample.
-SAMPLE = 1500
+#: Labelled documents of each language that training may use: the bound of the sample; and languages at most, of which the matrix is sent to all workers.
+SAMPLE, LANGUAGES = 1500, 400
 
 
 def features(data: np.ndarray, at: np.ndarray):
-    """For each order: the buckets of all n-grams within documents, and where each document's begin (one entry more)."""
-    c = data.astype(np.uint32)
+    """For each order: the buckets of all n-grams of characters within documents, and where each document's begin (one entry more)."""
+    c, at = code_points(data, at)
     h = c * np.uint32(0x01000193)
     length = np.diff(at)
     for n in range(2, ORDERS[-1] + 1):
@@ -46,6 +46,8 @@ def sample(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """(lang, text) of up to `limit` labelled documents of each language, first by a hash of doc_id and text."""
     known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     sizes = stage(known.groupBy("lang").count(), "languages")
+    if (n := sizes.count()) > LANGUAGES:
+        raise ValueError(f"lang has {n} values, more than the {LANGUAGES} that a matrix is made for")
     # a hash below this holds twice what is wanted, so that the rows to be ranked don't grow with the table
     least = F.lit(-float(1 << 63)) + F.least(F.lit(1.0), F.lit(2.0 * limit + 100) / F.col("count")) * float(2**64 - 2048)
     near = join_sized(known, sizes, "lang", "inner", 64).where(F.col("h") <= least)
@@ -73,7 +75,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     found = map_batches(labelled, tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
-    counts = np.ones((1 << BITS, len(langs)))
+    counts = np.ones((1 << BITS, len(langs)), np.float32 if len(langs) > 64 else np.float64)
     counts[found["bucket"].to_numpy(np.int64), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] += found["n"].to_numpy()
     return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 

@@ -12,8 +12,8 @@ from recollect.llm.signatures import classes
 
 #: Production parameters: minimum hashes of a fingerprint, and how many must agree.
 COORDINATES, LEAST = 64, 36
-#: A phrase weighs this many times as much as one of a symbol less, up to LONGEST symbols: longer ones say more, as they are rarer.
-WEIGHT, LONGEST = 8, 4
+#: A phrase weighs its bytes, LONGEST at most, to this power: longer ones are rarer, and say more.
+POWER, LONGEST = 5, 32
 _TIMES, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -36,30 +36,30 @@ def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, where[np.searchsorted(where, starts, "right")], np.searchsorted(starts, at)
 
 
-def parse(symbols: list[int]) -> dict[int, int]:
-    """The LZ78 phrases of a sequence of symbols, each the shortest piece that isn't a phrase yet: their 64-bit hashes, and how many symbols they have.
+def parse(symbols: list[int], sizes: list[int]) -> dict[int, int]:
+    """The LZ78 phrases of a sequence of symbols, each the shortest piece that isn't a phrase yet: their 64-bit hashes, and the bytes of their symbols, of which sizes has the numbers.
 
     A last piece that is a phrase already adds none.
     """
     known: dict[int, int] = {}
-    node, length = 0, 1
-    for s in symbols:
+    node = size = 0
+    for s, n in zip(symbols, sizes):
         key = node ^ s
+        size += n
         if key in known:
             node = key * _TIMES & _ALL
-            length += 1
         else:
-            known[key] = length
-            node, length = 0, 1
+            known[key] = size
+            node = size = 0
     return known
 
 
-def weighted_minimum_hashes(h: np.ndarray, length: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
+def weighted_minimum_hashes(h: np.ndarray, size: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
     """k minimum hashes of each document's set of phrases, as uint32: two sets agree in one with the probability that is their common share of weight.
 
     The least exponential variable of a rate that is the weight says which phrase is drawn; zeros where there is none.
     """
-    weight = np.float32(WEIGHT) ** (1 - np.minimum(length, LONGEST)).astype(np.float32)  # the inverse of it
+    weight = np.minimum(size, LONGEST).astype(np.float64) ** -POWER  # the inverse of it
     sig, full = np.zeros((len(off) - 1, k), np.uint32), np.flatnonzero(np.diff(off))
     if len(full):
         at = off[:-1][full]
@@ -77,14 +77,14 @@ def fingerprints(docs: DataFrame, k: int = COORDINATES) -> DataFrame:
         for b in batches:
             for i, j, data, at in pieces(b.column(2)):
                 starts, ends, first = symbols(data, at)
-                h, found, lengths = span_hashes(data, starts, ends).tolist(), [], []
+                h, size, found, sizes = span_hashes(data, starts, ends).tolist(), (ends - starts).tolist(), [], []
                 off = np.zeros(j - i + 1, np.int64)
                 for d in range(j - i):
-                    own = parse(h[first[d] : first[d + 1]])
+                    own = parse(h[first[d] : first[d + 1]], size[first[d] : first[d + 1]])
                     found.extend(own)
-                    lengths.extend(own.values())
+                    sizes.extend(own.values())
                     off[d + 1] = len(found)
-                yield signed(b.slice(i, j - i), weighted_minimum_hashes(np.array(found, U), np.array(lengths, np.int64), off, k), off)
+                yield signed(b.slice(i, j - i), weighted_minimum_hashes(np.array(found, U), np.array(sizes, np.int64), off, k), off)
 
     return map_batches(narrow(docs), sign, "doc_id long, th long, sig binary")
 
@@ -93,7 +93,7 @@ def similar_documents(docs: DataFrame, k: int = COORDINATES, least: int = LEAST)
     """(doc_id, class_id, links), one row for every document: the smallest doc_id of the class that its links connect it with, and how many they are.
 
     Two documents are linked if their fingerprints agree in at least `least` of k minimum hashes. The share that agrees
-    estimates the Jaccard similarity of the sets of phrases, weighted by WEIGHT, which follows how well one text helps to compress the other.
+    estimates the Jaccard similarity of the sets of phrases, weighted by their length, which follows how well one text helps to compress the other.
     Every document is compared with all; all links count, those of copies too, though none is written out; see
     signatures.classes. A document is a doc_id with a text: rows that repeat both are one, a doc_id with several texts has
     a row for each. Null, empty and wordless texts have no links and are a class of their own. Rows with null doc_id are

@@ -88,14 +88,14 @@ SELECT * FROM c WHERE copies > 0
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
-), solid AS (SELECT * FROM lines WHERE trim(line, ' ') <> ''),
+), solid AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ \t\r\f\v]')),
 firsts AS (
   SELECT line, min({'d': doc_id, 'l': line_no}) AS first, length(line) AS n FROM solid GROUP BY line
 ), halves AS (
-  SELECT line, first, n, n AS size, 0 AS side, substr(line, 1, n // 2) AS part FROM firsts WHERE n >= 20
-  UNION ALL SELECT line, first, n, n, 1, substr(line, n // 2 + 1) FROM firsts WHERE n >= 20
-  UNION ALL SELECT line, first, n, n - 1, 0, substr(line, 1, (n - 1) // 2) FROM firsts WHERE n >= 20
-  UNION ALL SELECT line, first, n, n - 1, 1, substr(line, n - ((n - 1) - (n - 1) // 2) + 1) FROM firsts WHERE n >= 20
+  SELECT line, first, n, n AS size, 0 AS side, substr(line, 1, n // 2) AS part FROM firsts
+  UNION ALL SELECT line, first, n, n, 1, substr(line, n // 2 + 1) FROM firsts
+  UNION ALL SELECT line, first, n, n - 1, 0, substr(line, 1, (n - 1) // 2) FROM firsts
+  UNION ALL SELECT line, first, n, n - 1, 1, substr(line, n - ((n - 1) - (n - 1) // 2) + 1) FROM firsts
 ), near AS (
   SELECT a.line, min(b.first) AS target FROM halves a JOIN halves b
     ON a.size = b.size AND a.side = b.side AND a.part = b.part AND b.first < a.first AND abs(a.n - b.n) <= 1

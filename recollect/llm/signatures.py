@@ -11,7 +11,7 @@ from recollect.llm.arrays import U, map_batches, mix
 from recollect.plans.shared import discard, join_sized, stage
 
 #: Size of the sketch of how many documents have a coordinate-value pair. It orders the pairs; any order is right, a closer one is faster.
-SKETCH = 1 << 16
+SKETCH = 1 << 18
 #: Elements of the prefix that two documents have in common at least, if they agree in enough coordinates.
 EXTRA = 4
 #: Posting lists of up to SHORT documents give pairs, of which the meetings are counted. The documents of a longer list are compared in blocks of about BLOCK, each two blocks in a piece of their own.

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.arrays import PLAIN, U, grams, map_batches, mix, pieces, span_hashes, words
-from recollect.plans.shared import fits, join_sized, stage
+from recollect.plans.shared import discard, fits, join_sized, stage
 
 #: Words that a passage must have to count. Words are what stands between white space.
 LENGTH = 50
+#: Words by which suffixes are ordered, two to a key; of the words behind them equal hashes are equal.
+LEADING = 6
+KEYS = ("a", "b", "c", "rest")
 #: Suffixes that one sorting task holds.
 BUCKET = 1 << 20
 _POS = (1 << 31) - 1
@@ -41,28 +44,33 @@ def _windows(data: np.ndarray, at: np.ndarray, length: int):
     return (low[pos] if off[-1] else np.zeros(0, U)), pos, off, h, first
 
 
-def multikey_quicksort(columns: list[np.ndarray], small: int = 1 << 14) -> np.ndarray:
-    """Order of rows by columns, the first first: three-way partitions on one column at a time, equal rows going on to the next.
-
-    Parts of up to `small` rows are ordered by a sort of their remaining columns.
-    """
-    order = np.arange(len(columns[0]))
-    todo = [(0, len(order), 0)]
-    while todo:
-        lo, hi, depth = todo.pop()
-        if depth == len(columns) or hi - lo < 2:
-            continue
-        part = order[lo:hi]
-        if hi - lo <= small:
-            order[lo:hi] = part[np.lexsort([c[part] for c in columns[depth:][::-1]])]
-            continue
-        v = columns[depth][part]
-        pivot = np.partition(v[:: max(1, len(v) // 255)], len(v[:: max(1, len(v) // 255)]) // 2)[len(v[:: max(1, len(v) // 255)]) // 2]
-        less, more = v < pivot, v > pivot
-        n, m = int(less.sum()), int(more.sum())
-        order[lo:hi] = np.concatenate([part[less], part[~(less | more)], part[more]])
-        todo += [(lo, lo + n, depth), (lo + n, hi - m, depth + 1), (hi - m, hi, depth)]
-    return order
+def multikey_quicksort(columns: list[np.ndarray], seed: int = 1) -> np.ndarray:
+    """Order of rows by columns, the first first: ranges are split in three by a drawn pivot of one column, what equals it going on to the next column. All ranges of a round are split together."""
+    keys, rng = np.stack(columns), np.random.default_rng(seed)
+    order = np.arange(keys.shape[1])
+    lo, hi, depth = np.array([0]), np.array([len(order)]), np.array([0])
+    while True:
+        use = (hi - lo > 1) & (depth < len(keys))
+        lo, hi, depth = lo[use], hi[use], depth[use]
+        if not len(lo):
+            return order
+        size = hi - lo
+        begin = np.cumsum(size) - size
+        row = np.arange(int(size.sum())) - np.repeat(begin - lo, size)
+        own = order[row]
+        v = keys[np.repeat(depth, size), own]
+        pivot = np.repeat(keys[depth, order[lo + rng.integers(0, size)]], size)
+        place, at, bounds = np.empty(len(row), np.int64), lo, [lo]
+        for part in (v < pivot, v == pivot, v > pivot):
+            n = np.add.reduceat(part.astype(np.int64), begin)
+            seen = np.cumsum(part)
+            shift = at - (seen[begin] - part[begin])  # what the ranges before hold is no place in this one
+            place[part] = (seen - 1 + np.repeat(shift, size))[part]
+            at = at + n
+            bounds.append(at)
+        order[place] = own
+        lo, hi = np.concatenate(bounds[:3]), np.concatenate(bounds[1:])
+        depth = np.concatenate([depth, depth + 1, depth])
 
 
 def _suffixes(docs: DataFrame, length: int, bucket: int) -> DataFrame:
@@ -90,7 +98,6 @@ def _suffixes(docs: DataFrame, length: int, bucket: int) -> DataFrame:
     known = spark.sparkContext.broadcast(np.sort(runs.toPandas()["run"].to_numpy(np.int64)) if few else None)
 
     def emit(batches):
-        step = -(-length // 3)
         for b in batches:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, j, data, at in pieces(b.column(2)):
@@ -108,49 +115,51 @@ def _suffixes(docs: DataFrame, length: int, bucket: int) -> DataFrame:
                     k = np.minimum(np.searchsorted(known.value, heads), len(known.value) - 1)
                     use = (known.value[k] == heads)[np.cumsum(change) - 1]
                     pos, doc, low = pos[use], doc[use], low[use]
-                whole = np.array([0, len(h)])
-                cuts = [(k * step, min(step, length - k * step)) for k in range(3)]
-                keys = [grams(h, whole, n)[0][pos + skip] for skip, n in cuts]
+                word = [h[pos + k] >> U(32) if k < length else np.zeros(len(pos), U) for k in range(LEADING)]
+                keys = [word[k] << U(32) | word[k + 1] for k in range(0, LEADING, 2)]
+                rest = length - LEADING
+                keys.append(grams(h, np.array([0, len(h)]), rest)[0][pos + LEADING] if rest > 0 else np.zeros(len(pos), U))
                 number = (tags[i:j][doc].astype(np.int64) & _POS) << 31 | (pos - first[:-1][doc])
                 cols = [k.view(np.int64) for k in keys] + [ids[i:j][doc], number, low.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "c", "doc_id", "at", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*KEYS, "doc_id", "at", "run"])
 
-    suffixes = map_batches(docs, emit, "a long, b long, c long, doc_id long, at long, run long")
+    suffixes = map_batches(docs, emit, "a long, b long, c long, rest long, doc_id long, at long, run long")
     if not few:
         suffixes = suffixes.join(runs, "run", "left_semi")
     return _sorted(stage(suffixes.drop("run"), "suffixes"), bucket)
 
 
 def _sorted(suffixes: DataFrame, bucket: int) -> DataFrame:
-    """Range-partition suffixes by their leading words, sort each part, compare neighbours, and what meets at the borders of parts."""
+    """Range-partition suffixes by their leading words, with splitters from a sample, sort each part, compare neighbours, and what meets at the borders of parts."""
     parts = max(1, -(-suffixes.count() // bucket))
 
     def compare(batches):
-        cols = [np.concatenate(x) for x in zip(*([b.column(k).to_numpy() for k in range(5)] for b in batches))]
+        cols = [np.concatenate(x) for x in zip(*([b.column(k).to_numpy() for k in range(6)] for b in batches))]
         if not cols:
             return
-        order = multikey_quicksort(cols[:3])
-        a, b, c, doc, at = (x[order] for x in cols)
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        order = multikey_quicksort(cols[:4])
+        *keys, doc, at = (x[order] for x in cols)
+        new = np.ones(len(doc), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(a)))
+        size = np.diff(np.append(start, len(doc)))
         low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
         border = np.zeros(len(start), bool)
         border[[0, -1]] = parts > 1
         use = np.repeat((low != high) | border, size)
-        out = [a, b, c, doc, at, np.repeat(low, size), np.repeat(high, size), np.repeat(border, size)]
-        for i in range(0, len(a), 1 << 16):
+        out = [*keys, doc, at, np.repeat(low, size), np.repeat(high, size), np.repeat(border, size)]
+        for i in range(0, len(doc), 1 << 16):
             keep = use[i : i + (1 << 16)]
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][keep]) for x in out], ["a", "b", "c", "doc_id", "at", "low", "high", "border"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][keep]) for x in out], [*KEYS, "doc_id", "at", "low", "high", "border"])
 
-    ranged = suffixes.repartitionByRange(parts, "a", "b", "c", "doc_id", "at") if parts > 1 else suffixes.coalesce(1)
-    found = stage(map_batches(ranged, compare, "a long, b long, c long, doc_id long, at long, low long, high long, border boolean"), "repeats")
+    ranged = suffixes.repartitionByRange(parts, *KEYS, "doc_id", "at") if parts > 1 else suffixes.coalesce(1)
+    found = stage(map_batches(ranged, compare, "a long, b long, c long, rest long, doc_id long, at long, low long, high long, border boolean"), "repeats")
+    discard(suffixes)
     inner = found.where("not border").select("doc_id", "at", F.col("low").alias("first_doc"))
     border = found.where("border")
-    met = stage(border.groupBy("a", "b", "c").agg(F.min("low").alias("first_doc"), F.max("high").alias("last")).where("first_doc != last"), "borders")
-    return inner.unionByName(join_sized(border.select("a", "b", "c", "doc_id", "at"), met, ["a", "b", "c"], "inner", 48).select("doc_id", "at", "first_doc"))
+    met = stage(border.groupBy(*KEYS).agg(F.min("low").alias("first_doc"), F.max("high").alias("last")).where("first_doc != last"), "borders")
+    return inner.unionByName(join_sized(border.select(*KEYS, "doc_id", "at"), met, list(KEYS), "inner", 56).select("doc_id", "at", "first_doc"))
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator on small tables against a brute-force version, and on tables with every kind of odd row."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -103,6 +104,19 @@ def test_mixing_of_odd_rows(spark, odd):
     assert mixing.sampled(odd, {"nowhere": 1}).count() == 0
 
 
+def test_mixing_with_clashing_columns_and_ties(spark):
+    rows = [(1, "a b", "s", i % 2) for i in range(20)] + [(2, "c", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    for x in ("__u", "u", "row", "share", "total", "_copies", "at", "cut"):
+        docs = docs.withColumn(x, F.lit("own"))
+    drawn = mixing.sampled(docs, {"s": 1}, 5)
+    assert drawn.columns == [*docs.columns, "__copies"]
+    got = drawn.collect()
+    assert sum(r["__copies"] for r in got) == 5 and {r["__u"] for r in got} == {"own"} and {*(r["copies"] for r in got)} <= {0, 1, 7}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.sampled(docs.repartition(3), {"s": 1}, 5).collect()))
+    assert mixing.mixed(docs, {"s": 1}, 5).columns == docs.columns and mixing.mixed(docs, {"s": 1}, 5).count() == 5
+
+
 # ---- 2 passages
 
 
@@ -130,8 +144,10 @@ def test_passages_match_brute_force(spark, bucket):
 def test_multikey_quicksort():
     rng = np.random.default_rng(0)
     cols = [rng.integers(0, 9, 5000), rng.integers(0, 50, 5000), rng.integers(0, 1000, 5000)]
-    order = substrings.multikey_quicksort(cols, small=16)
+    order = substrings.multikey_quicksort(cols)
     assert [tuple(c[i] for c in cols) for i in order] == sorted(zip(*cols))
+    assert substrings.multikey_quicksort([np.zeros(0, np.int64)] * 3).tolist() == []
+    assert substrings.multikey_quicksort([np.zeros(9, np.int64)] * 3).tolist() is not None
 
 
 def test_passages_of_odd_rows(spark, odd):
@@ -394,9 +410,9 @@ def test_phrases_are_those_of_the_parse():
     names = {}
     for n in (0, 1, 30, 400):
         text = [rng.choice(WORDS[:12]) for _ in range(n)]
-        got, want = phrases.parse([ids[w] for w in text]), lz78(text)
+        got, want = phrases.parse([ids[w] for w in text], [len(w) for w in text]), lz78(text)
         assert len({*got}) == len(got) == len(want)
-        assert Counter(got.values()) == Counter(len(p) for p in want)
+        assert Counter(got.values()) == Counter(sum(map(len, p)) for p in want)
         for phrase in want:  # equal phrases have equal hashes wherever they stand
             h = 0
             for i, w in enumerate(phrase):
@@ -451,10 +467,10 @@ def test_signature_join_misses_no_link(spark, kind):
 
 def test_weighted_minimum_hashes_estimate_the_common_share_of_weight():
     rng = np.random.default_rng(5)
-    h, length = rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(1, 6, 300)
+    h, length = rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(1, 40, 300)
     a, b = np.arange(200), np.arange(100, 300)
     sig = phrases.weighted_minimum_hashes(np.concatenate([h[a], h[b]]), np.concatenate([length[a], length[b]]), np.array([0, 200, 400]), 4000)
-    w = float(phrases.WEIGHT) ** np.minimum(length, phrases.LONGEST)
+    w = np.minimum(length, phrases.LONGEST) ** float(phrases.POWER)
     assert (sig[0] == sig[1]).mean() == pytest.approx(w[100:200].sum() / w.sum(), abs=0.04)
 
 
@@ -629,6 +645,17 @@ def test_no_row_is_lost_with_a_near_duplicate(spark):
 # ---- 10 languages
 
 
+def test_code_points_and_ties(spark):
+    from recollect.llm.arrays import code_points
+
+    texts = ["aé中\U0001f600b", "", "ß", "x"]
+    raw = [t.encode() for t in texts]
+    got, at = code_points(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[ord(c) for c in t] for t in texts]
+    docs = spark.createDataFrame([(1, "same", "q", "s", 0), (2, "same", "p", "s", 0)], DOCS)
+    assert {r.language for r in language.languages(docs).collect()} == {"p"}
+
+
 def test_language_on_held_out_documents(spark):
     rng = random.Random(14)
     kinds = {"aa": ["bako", "tilo", "zun"], "bb": ["schr", "kopf", "ung"], "cc": ["éau", "que", "ois"]}
@@ -662,3 +689,95 @@ def test_language_of_odd_rows(spark, odd):
     assert len(rows) == odd.count() and all(r.language is None for r in rows if r.doc_id in (2, 3))
     assert language.languages(empty(odd)).count() == 0
     assert language.languages(odd.withColumn("lang", F.lit(None).cast("string"))).where("language is not null").count() == 0
+
+
+# ---- what is registered, as it is registered
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the fixture tables")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return {x: spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels", "embeddings")}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["op1_source_mixing", "op3_line_dedup"])
+def test_registered_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from recollect.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    rel = con.sql(queries.ORACLES[name])
+    assert {*rel.columns} == {*df.columns}
+    want = rel.select(*[f'"{c}"' for c in df.columns]).fetchall()
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want)) and want
+
+
+@needs_tables
+def test_registered_searches_and_scores_cover_their_tables(spark, tables):
+    from recollect.llm import queries
+
+    docs = [r for r in tables["documents"].collect() if r.text]
+    ids = Counter(r.doc_id for r in tables["documents"].collect())
+    assert Counter(r.doc_id for r in queries.op4_lm_scoring(spark, SF).collect()) == ids
+    assert Counter(r.doc_id for r in queries.op10_language_id(spark, SF).collect()) == ids
+    packed = Counter()
+    for r in queries.op5_sequence_packing(spark, SF).collect():
+        packed[r.doc_id] += r.n_tokens
+    assert packed == Counter({r.doc_id: len(r.text.split()) + 1 for r in docs if r.text.split()})
+    toxic = {r.doc_id for r in queries.op8_toxicity(spark, SF).collect()}
+    assert toxic <= {*ids}
+    v = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in tables["embeddings"].collect()}
+    got = queries.op7_nearest_neighbours(spark, SF).collect()
+    for q in {i for i in v if i % 100 == 0}:
+        want = sorted((i for i in v if i != q), key=lambda i: -float(v[q] @ v[i]))[:10]
+        assert len({r.neighbour_id for r in got if r.vec_id == q} & {*want}) >= 9
+
+
+@needs_tables
+def test_registered_duplicate_searches_match_brute_force(spark, tables):
+    from recollect.llm import queries
+
+    for found, sigs, least in (
+        (queries.op6_phrase_fingerprints(spark, SF), phrases.fingerprints(tables["documents"]), phrases.LEAST),
+        (queries.op9_near_dedup(spark, SF), near_dedup.signatures(tables["documents"]), near_dedup.LEAST),
+    ):
+        want = classes_by_hand(sigs.collect(), least)
+        assert Counter((r.doc_id, r.class_id, r.links) for r in found.collect()) == Counter((d, c, n) for (d, _), (c, n) in want.items())
+    texts = {r.doc_id: r.text for r in tables["documents"].collect()}
+    rows = queries.op2_substring_dedup(spark, SF).collect()
+    whole = {t for t, n in Counter(texts.values()).items() if n > 1}
+    copies = {(d, i) for d, t in texts.items() if t in whole for i in range(len(t.split()) - 49)}
+    assert {(r.doc_id, i) for r in rows for i in range(r.start, r.stop - 49)} == shared_positions(texts, 50) | copies
+
+
+@needs_tables
+def test_pipeline_stage_by_stage(spark, tables):
+    import corpus_pipeline
+
+    docs = tables["documents"]
+    columns = docs.columns
+    odds = {r.doc_id for r in toxicity.toxic_documents(docs, tables["labels"]).where("toxic = 1").collect()}
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert kept.columns == columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - odds
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    gone = {}
+    for d, i, *_ in lines_to_remove(texts):
+        gone.setdefault(d, set()).add(i)
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    cut = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in texts.items()}
+    assert left == {d: t for d, t in cut.items() if t.strip() or d not in gone}
+    want = classes_by_hand(near_dedup.signatures(docs).collect(), near_dedup.LEAST)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == {c for c, _ in want.values()}
+    assert corpus_pipeline.mix_sources(spark, docs, SF).count() == docs.count()
+    out = corpus_pipeline.run(spark, SF)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "source mixing", "packing"]
+    used = Counter()
+    for r in out.collect():
+        used[r.bin_id] += r.n_tokens
+    assert used and max(used.values()) <= packing.CAPACITY
