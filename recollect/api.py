@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Iterable
@@ -10,9 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions import decay
+from recollect.functions import decay, text
 from recollect.operators import graph, recall, stats, versions
-from recollect.plans.shared import shared_path
+from recollect.plans.shared import discard, local_path, ship, stage
 from recollect.sources import store
 
 MEMORIES = "id string, content string, node_type string, version int, ts long, activation double, decay_rate double, version_of string, tags array<string>"
@@ -39,6 +40,7 @@ class Store:
     """Tables are immutable snapshots: a change writes a new one to the shared folder and switches to it.
 
     Reading changes nothing. Accesses are rows of their own, folded into activations by `settle`. All times are given.
+    Batches that are `put` wait until they are `flush`ed together, as they are by any reading of statistics or change.
     """
 
     spark: SparkSession
@@ -48,14 +50,17 @@ class Store:
     accesses: DataFrame | None = None
 
     def __post_init__(self) -> None:
+        ship(self.spark)
+        self._pending: list[tuple[DataFrame, int]] = []
+        self._own: list[DataFrame] = []
         for name, schema in (("memories", MEMORIES), ("links", LINKS), ("accesses", ACCESSES)):
             if getattr(self, name) is None:
                 setattr(self, name, self.spark.createDataFrame([], schema))
 
     def _set(self, name: str, df: DataFrame) -> None:
-        path = shared_path(self.spark, name)
-        df.write.parquet(path)
-        setattr(self, name, self.spark.read.schema(df.schema).parquet(path))
+        staged = stage(df, name)
+        setattr(self, name, staged)
+        self._own.append(staged)  # the one before stays until the store is closed: results may be lazy
 
     @staticmethod
     def _now(as_of: int | None) -> int:
@@ -63,19 +68,38 @@ class Store:
 
     # ---- writing
 
+    def put(self, batch: DataFrame, as_of: int | None = None) -> None:
+        """Note a batch of (id, content, ...) to be written with others by `flush`."""
+        self._pending.append((batch, self._now(as_of)))
+
+    def flush(self) -> int:
+        """Write all batches that wait, as one snapshot; gives how many they were. Of rows with one id the last batch's stay."""
+        waiting, self._pending = self._pending, []
+        if waiting:
+            rows = [store.new_memories(b, at).select(*self.memories.columns).withColumn("__n", F.lit(n)) for n, (b, at) in enumerate(waiting)]
+            every = rows[0]
+            for r in rows[1:]:
+                every = every.unionByName(r)
+            last = every.groupBy("id").agg(F.max_by(F.struct(*self.memories.columns), "__n").alias("r")).select("r.*")
+            self._write(last)
+        return len(waiting)
+
+    def _write(self, new: DataFrame) -> None:
+        self._set("memories", store.upsert(self.memories, new).select(*[F.col(c).cast(self.memories.schema[c].dataType).alias(c) for c in self.memories.columns]))
+
     def insert_many(self, batch: DataFrame, related: DataFrame | None = None, as_of: int | None = None) -> None:
         """Add a batch of (id, content, ...); related: (from_id, to_id), of which only existing targets are linked."""
         new = store.new_memories(batch, self._now(as_of)).select(*self.memories.columns)
-        self._set("memories", store.upsert(self.memories, new).select(*[F.col(c).cast(self.memories.schema[c].dataType).alias(c) for c in self.memories.columns]))
+        self._write(new)
         if related is not None:
             self._set("links", self.links.unionByName(store.related_links(self.memories, related).select(*[F.col(c).cast(self.links.schema[c].dataType).alias(c) for c in self.links.columns])))
 
-    def insert(self, content: str, node_type: str = "fact", tags: list[str] | None = None, related: Iterable[str] = (), as_of: int | None = None) -> str:
-        """Add one memory and return its id; a blank content is an error. For many use insert_many."""
+    def insert(self, content: str, node_type: str = "fact", tags: list[str] | None = None, related: Iterable[str] = (), as_of: int | None = None, version_of: str | None = None, decay_rate: float = 0.02) -> str:
+        """Add one memory and return its id; a blank content is an error. Each call writes a snapshot: for many use insert_many, or put and flush."""
         if not content or not content.strip():
             raise ValueError("a memory needs a content")
         ident = str(uuid.uuid4())
-        row = self.spark.createDataFrame([(ident, content, node_type, tags)], "id string, content string, node_type string, tags array<string>")
+        row = self.spark.createDataFrame([(ident, content, node_type, tags, version_of, decay_rate)], "id string, content string, node_type string, tags array<string>, version_of string, decay_rate double")
         wanted = self.spark.createDataFrame([(ident, r) for r in related], "from_id string, to_id string")
         self.insert_many(row, wanted, as_of)
         return ident
@@ -120,6 +144,64 @@ class Store:
         self._set("memories", m)
         self._set("accesses", self.accesses.where(F.col("ts_us") > now * 1_000_000))
 
+    def update_activation(self, ident: str, boost: float | None = None, as_of: int | None = None) -> float:
+        """Boost one memory, as two readings and the boost do, and return its activation as of now; an error if it doesn't exist."""
+        now = self._now(as_of)
+        if store.point(self.memories, ident).isEmpty():
+            raise KeyError(ident)
+        for b in (self.settings.read_boost, self.settings.read_boost, self.settings.boost if boost is None else boost):
+            self.access([ident], b, now)
+        self.settle(now)
+        return store.point(self.memories, ident).first().activation
+
+    def set_weight(self, from_id: str, to_id: str, weight: float) -> None:
+        """Another weight for the first link between two memories; an error if there is none."""
+        self._set("links", graph.set_weight(self.links, from_id, to_id, weight))
+
+    def cleanup(self, least: float = 0.01, as_of: int | None = None) -> int:
+        """Decay everything to now, remove what is at `least` or below, by default the floor of decay, and the links from it; gives how many went."""
+        self.settle(as_of)
+        gone = self.memories.where(F.col("activation") <= least).select("id")
+        n = gone.count()
+        if n:
+            kept = stage(gone, "gone")
+            self._set("links", self.links.join(kept.withColumnRenamed("id", "from_id"), "from_id", "left_anti").select(*self.links.columns))
+            self._set("memories", store.delete(self.memories, kept))
+            discard(kept)
+        return n
+
+    def sync(self, rows: DataFrame, key: str, content, tags: list[str], node_type: str = "fact", as_of: int | None = None) -> None:
+        """Take the rows of any table in as memories, in place of those with their id; see store.synced."""
+        self._write(store.synced(rows, key, content, tags, node_type, self._now(as_of)).withColumn("id", F.col("id").cast("string")).select(*self.memories.columns))
+
+    def close(self) -> None:
+        """Write what waits, and delete the snapshots in the shared folder; what was backed up stays. The store is empty then."""
+        self.flush()
+        discard(*self._own)
+        self._own.clear()
+        for name, schema in (("memories", MEMORIES), ("links", LINKS), ("accesses", ACCESSES)):
+            setattr(self, name, self.spark.createDataFrame([], schema))
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    # ---- notes
+
+    def add_note(self, title: str, body: str, category: str = "general", tags: Iterable[str] = ()) -> str:
+        """A note; its first tag is its category."""
+        return self.insert(f"{title}\n\n{body}", "fact", [category, "note", *tags])
+
+    def add_article(self, url: str, title: str, summary: str, tags: Iterable[str] = ()) -> str:
+        """What a web page says."""
+        return self.insert(f"{title}\n{url}\n\n{summary}", "fact", ["web", "reference", *tags])
+
+    def add_book_note(self, book: str, author: str, page: int, note: str, tags: Iterable[str] = ()) -> str:
+        """A note on a page of a book; notes on one book are found by its tag."""
+        return self.insert(f"{book} ({author}), p. {page}: {note}", "fact", ["books", "book_note", text.tag_of(book), *tags])
+
     def prune_links(self, least: float = 0.1) -> None:
         self._set("links", graph.prune(self.links, least))
 
@@ -132,10 +214,46 @@ class Store:
         a = decay.apply_decay(F.col("activation"), F.col("decay_rate"), F.lit(now) - F.col("ts"), self.settings.decay_model, self.settings.floor)
         return m.withColumn("activation", decay.boosted(a, self.settings.read_boost))
 
-    def search(self, text: str | None = None, tags: list[str] | None = None, limit: int = 10, as_of: int | None = None) -> DataFrame:
+    def search(self, text: str | None = None, tags: list[str] | None = None, limit: int = 10, as_of: int | None = None, note: bool = False) -> DataFrame:
+        """What a text, else tags, recall; without either what is most active. note: the results are noted as accesses, for `settle`."""
+        now = self._now(as_of)
         if text:
-            return recall.content_recall(self.memories, text, limit, self._now(as_of), self.settings.search_mode)
-        return recall.recall(self.memories, None, tags, limit, self._now(as_of))
+            found = recall.content_recall(self.memories, text, limit, now, self.settings.search_mode)
+        else:
+            found = recall.recall(self.memories, None, tags, limit, now)
+        if note:
+            found = stage(found, "results")
+            self.access([r.id for r in found.select("id").collect()], 0.03, now)
+        return found
+
+    # the names that a storage adapter has
+    read_node_by_id = get_node = get
+
+    def get_all_nodes(self) -> DataFrame:
+        return self.memories
+
+    def by_type(self, node_type: str, limit: int = 10) -> DataFrame:
+        return recall.by_type(self.memories, node_type, limit)
+
+    def by_activation(self, least: float, limit: int = 100) -> DataFrame:
+        return recall.by_activation(self.memories, least, limit)
+
+    def by_tags(self, tags: list[str], match_all: bool = False) -> DataFrame:
+        return recall.tags_match(self.memories, tags, match_all)
+
+    def record_sizes(self) -> DataFrame:
+        """(id, bytes) of each memory's binary record."""
+        kinds = self.links.groupBy(F.col("from_id").alias("id")).agg(F.collect_list("link_type").alias("kinds"))
+        size = text.record_bytes(F.col("content"), F.col("node_type"), F.col("version_of"), F.col("tags"), F.col("kinds"))
+        return self.memories.join(kinds, "id", "left").select("id", size.alias("bytes"))
+
+    def record_index(self) -> DataFrame:
+        """(file, id, offset, bytes): where each record begins in files of one leading character of the id each."""
+        return store.record_index(self.record_sizes().withColumn("file", F.substring("id", 1, 1)), None)
+
+    def journal(self) -> DataFrame:
+        """(id, entry): the audit table's header of each memory as it is."""
+        return store.journal(self.memories.select("id", "ts").join(self.record_sizes(), "id"))
 
     def related(self, ident: str, limit: int = 10) -> DataFrame:
         at = self.spark.createDataFrame([(ident, 1.0)], "id string, a double")
@@ -153,7 +271,10 @@ class Store:
         return c.join(F.broadcast(c.where(F.col("id") == ident).select("root")), "root", "left_semi").orderBy("place")
 
     def statistics(self) -> dict:
-        return stats.store(self.memories, self.links, self.settings.active).first().asDict()
+        """Counts and means of the tables, bytes and files of their snapshots, and batches that wait."""
+        out = stats.store(self.memories, self.links, self.settings.active).first().asDict()
+        files = [f for t in (self.memories, self.links, self.accesses) for f in t.inputFiles()]
+        return out | {"files": len(files), "bytes": sum(os.path.getsize(local_path(f)) for f in files if f.startswith(("/", "file:"))), "pending": len(self._pending)}
 
     def export(self, form: str = "json") -> DataFrame:
         return store.export_json(self.memories.select(*store.COLUMNS), self.links.select("from_id", F.col("to_id"), "weight", "link_type", "pos"), form)

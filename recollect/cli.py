@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import shlex
 import sys
 import time
 
@@ -22,7 +23,9 @@ def _parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         c.add_argument(arg)
         c.add_argument("--limit", type=int, default=10)
-    for name in ("stats", "health", "config"):
+    c = sub.add_parser("cleanup", help="remove what is forgotten")
+    c.add_argument("--least", type=float, default=0.01)
+    for name in ("stats", "health", "config", "shell"):
         sub.add_parser(name)
     return p
 
@@ -33,12 +36,52 @@ def _latest(folder: str) -> str | None:
     return open(mark).read().strip() if os.path.exists(mark) else None
 
 
-def main(args: list[str] | None = None, spark=None) -> int:
+def _kept(s: Store, folder: str) -> None:
+    """Write a snapshot of all tables, then let the marker name it."""
+    name = f"{time.time_ns()}"
+    s.backup(os.path.join(folder, name))
+    mark = os.path.join(folder, "CURRENT")
+    with open(f"{mark}.new", "w") as f:
+        f.write(name)
+    os.replace(f"{mark}.new", mark)
+
+
+def health(spark) -> dict:
+    """Whether a store of its own takes a memory in, finds it by text and by tag, and gives it back."""
+    with Store(spark) as s:
+        ident = s.insert("a probe of the store", tags=["probe"])
+        done = {
+            "insert": s.memories.count() == 1,
+            "search": [r.id for r in s.search("probe").select("id").collect()] == [ident],
+            "tags": [r.id for r in s.search(tags=["probe"]).select("id").collect()] == [ident],
+            "get": not s.get(ident).isEmpty(),
+        }
+    return done | {"ok": all(done.values())}
+
+
+def main(args: list[str] | None = None, spark=None, lines=None) -> int:
+    """Run one command; `shell` runs one for each line of standard input (or of lines), until `exit`."""
     a = _parser().parse_args(args)
     if spark is None:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("recollect").getOrCreate()
+    if a.command != "shell":
+        return _run(a, spark)
+    worst = 0
+    for line in lines if lines is not None else sys.stdin:
+        words = shlex.split(line)
+        if words[:1] in (["exit"], ["quit"]):
+            break
+        if words:
+            try:
+                worst = max(worst, _run(_parser().parse_args([a.folder, *words]), spark))
+            except SystemExit:
+                worst = 2
+    return worst
+
+
+def _run(a: argparse.Namespace, spark) -> int:
     now = _latest(a.folder)
     s = Store.restore(spark, os.path.join(a.folder, now)) if now else Store(spark)
 
@@ -56,12 +99,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
         except ValueError as e:
             print(e, file=sys.stderr)
             return 2
-        name = f"{time.time_ns()}"
-        s.backup(os.path.join(a.folder, name))
-        mark = os.path.join(a.folder, "CURRENT")
-        with open(f"{mark}.new", "w") as f:
-            f.write(name)
-        os.replace(f"{mark}.new", mark)
+        _kept(s, a.folder)
         print(json.dumps({"id": ident}))
         return 0
     if a.command == "search":
@@ -75,9 +113,14 @@ def main(args: list[str] | None = None, spark=None) -> int:
     if a.command == "backup":
         s.backup(a.target)
         return 0
-    out = {"stats": s.statistics, "health": lambda: {"ok": True, "memories": s.memories.count()}, "config": lambda: vars(s.settings)}[a.command]()
+    if a.command == "cleanup":
+        gone = s.cleanup(a.least)
+        _kept(s, a.folder)
+        print(json.dumps({"removed": gone}))
+        return 0
+    out = {"stats": s.statistics, "health": lambda: health(spark) | {"memories": s.memories.count()}, "config": lambda: vars(s.settings)}[a.command]()
     print(json.dumps(out))
-    return 0
+    return 0 if out.get("ok", True) else 1
 
 
 if __name__ == "__main__":

@@ -8,8 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions import text
+from recollect.plans.shared import ship
 from recollect.sources import mex
 
+def _map(df: DataFrame, function, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 _FIELDS = [f.split(" ", 1)[0] for f in mex.SCHEMA.replace("struct<to_id:string,weight:double,link_type:string>", "s").split(", ")]
 
 
@@ -30,7 +37,7 @@ def encoded(records: DataFrame) -> DataFrame:
             rows = b.to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mex.encode(r) for r in rows], pa.binary())], ["id", "record"])
 
-    return records.select(*_FIELDS).mapInArrow(encode, "id string, record binary")
+    return _map(records.select(*_FIELDS), encode, "id string, record binary")
 
 
 def decoded(records: DataFrame) -> DataFrame:
@@ -47,7 +54,40 @@ def decoded(records: DataFrame) -> DataFrame:
             rows = [dict(zip(_FIELDS, (*r[:8], [dict(zip(names, x)) for x in r[8]], r[9]))) for r in rows]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return records.select("record").mapInArrow(decode, mex.SCHEMA)
+    return _map(records.select("record"), decode, mex.SCHEMA)
+
+
+def packed(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, codec, bytes, data): each content compressed by the codec that its size asks for; see functions.text.codec_for. zstd stands for blosc, which Arrow hasn't."""
+
+    def pack(batches):
+        for b in batches:
+            raw, codec = [(x or "").encode() for x in b.column(1).to_pylist()], b.column(2).to_pylist()
+            data = [_pack(x, c) for x, c in zip(raw, codec)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in raw], pa.int64()), pa.array(data, pa.binary())], ["key", "codec", "bytes", "data"])
+
+    return _map(df.select(F.col(key).cast("long").alias("key"), content, text.codec_for(F.octet_length(F.coalesce(content, F.lit("")))).alias("codec")), pack, "key long, codec string, bytes long, data binary")
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """(key, content) of what packed made."""
+
+    def unpack(batches):
+        for b in batches:
+            codec, size, data = (b.column(c).to_pylist() for c in ("codec", "bytes", "data"))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([_unpack(d, c, n).decode() for c, n, d in zip(codec, size, data)], pa.string())], ["key", "content"])
+
+    return _map(df.select("key", "codec", "bytes", "data"), unpack, "key long, content string")
+
+
+def _pack(raw: bytes, codec: str) -> bytes:
+    kind, level = codec.split("/")
+    return zlib.compress(raw, int(level)) if kind == "zlib" else pa.compress(raw, codec="lz4" if kind == "lz4" else "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, codec: str, size: int) -> bytes:
+    kind = codec.split("/")[0]
+    return zlib.decompress(data) if kind == "zlib" else pa.decompress(data, size, codec="lz4" if kind == "lz4" else "zstd", asbytes=True)
 
 
 def compressed(df: DataFrame, key: str, content: str, levels: tuple[int, ...] = (1, 5, 9)) -> DataFrame:
@@ -61,4 +101,4 @@ def compressed(df: DataFrame, key: str, content: str, levels: tuple[int, ...] =
                     [b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([level] * len(raw), pa.int32()), pa.array([len(zlib.compress(x, level)) for x in raw], pa.int64())], ["key", "bytes", "level", "packed"]
                 )
 
-    return df.select(F.col(key).cast("long").alias("key"), content).mapInArrow(pack, "key long, bytes long, level int, packed long")
+    return _map(df.select(F.col(key).cast("long").alias("key"), content), pack, "key long, bytes long, level int, packed long")

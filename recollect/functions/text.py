@@ -149,3 +149,18 @@ def record_bytes(content: Column, node_type: Column, version_of: Column, tags: C
 
 def codec_for(size: Column) -> Column:
     return F.when(size < 1024, "lz4/1").when(size < 10240, "zlib/5").otherwise("blosc/9")
+
+
+def to_seconds(at: Column) -> Column:
+    """Seconds since 1970, with fractions, of a timestamp."""
+    return F.unix_micros(at) / 1e6
+
+
+def from_seconds(s: Column) -> Column:
+    """The timestamp that lies so many seconds, with fractions, after 1970."""
+    return F.timestamp_micros((s * 1e6).cast("long"))
+
+
+def tag_of(name: str) -> str:
+    """A name as a tag: words in lower case, joined by underscores."""
+    return "_".join(re.findall(r"\w+", name.lower()))

@@ -155,11 +155,15 @@ def upsert_links(links: DataFrame, new: DataFrame, memories: DataFrame) -> DataF
     return old.unionByName(ok).groupBy("from_id", "to_id", "link_type").agg(F.max_by("weight", F.struct("fresh", "weight")).alias("weight")).select("from_id", "to_id", "weight", "link_type")
 
 
-def set_weight(links: DataFrame, from_id: int, to_id: int, weight: float) -> DataFrame:
+def set_weight(links: DataFrame, from_id, to_id, weight: float) -> DataFrame:
+    """links with another weight for the first link (by pos) from one memory to another; an error if there is none."""
     if not 0 <= weight <= 1:
         raise ValueError("a weight lies between 0 and 1")
     here = (F.col("from_id") == from_id) & (F.col("to_id") == to_id)
-    return links.withColumn("weight", F.when(here, weight).otherwise(F.col("weight")))
+    first = links.where(here).agg(F.min("pos").alias("pos")).first().pos
+    if first is None:
+        raise KeyError(f"no link from {from_id} to {to_id}")
+    return links.withColumn("weight", F.when(here & (F.col("pos") == first), weight).otherwise(F.col("weight")))
 
 
 def prune(links: DataFrame, least: float = 0.1) -> DataFrame:
@@ -209,3 +213,27 @@ def typed(links: DataFrame, memories: DataFrame, domain, day: int = 86400) -> Da
     a, b = m.toDF("from_id", "d1", "t1"), m.toDF("to_id", "d2", "t2")
     kind = F.when(F.col("d1") == F.col("d2"), "semantic").when(F.abs(F.col("t1") - F.col("t2")) < day, "temporal").otherwise("associative")
     return links.join(a, "from_id").join(b, "to_id").select("from_id", "to_id", "weight", kind.alias("link_type"))
+
+
+def chosen_related(memories: DataFrame, domain, topic, most: int = 5) -> DataFrame:
+    """(from_id, to_id, kind): whom a new memory is linked with: of those before it by id the last three of its topic, the last two of its domain unless of its topic, and for every tenth id the last two of all unless of its domain; at most `most`.
+
+    domain, topic: columns of memories. Memories are numbered by topic, by domain and by id, without one task that sees them
+    all, and joined by their numbers.
+    """
+    from recollect.operators.layout import numbered
+
+    own = memories.select("id", domain.alias("domain"), topic.alias("topic"))
+    found = []
+    for rank, kind, by, n, ok in (
+        (0, "topic", ["topic", "id"], 3, F.col("topic") == F.col("t2")),
+        (1, "domain", ["domain", "id"], 2, (F.col("domain") == F.col("d2")) & (F.col("topic") != F.col("t2"))),
+        (2, "cross", ["id"], 2, (F.col("domain") != F.col("d2")) & (F.col("id") % 10 == 0)),
+    ):
+        i = numbered(own.withColumn("key", F.struct(*by)), "key").select("id", "domain", "topic", "i")
+        other = i.select((F.col("i")).alias("at"), F.col("id").alias("to_id"), F.col("domain").alias("d2"), F.col("topic").alias("t2"))
+        near = i.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("at", F.col("i") - F.col("k")).join(other, "at").where(ok)
+        found.append(near.select(F.col("id").alias("from_id"), "to_id", F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), "k"))
+    every = reduce(DataFrame.unionByName, found)
+    place = F.row_number().over(Window.partitionBy("from_id").orderBy("rank", "k"))
+    return every.withColumn("place", place).where(F.col("place") <= most).select("from_id", "to_id", "kind")

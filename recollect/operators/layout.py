@@ -152,7 +152,7 @@ def fractal_edges(points: DataFrame) -> DataFrame:
 
 
 def branches(root: DataFrame, related: DataFrame, depth: int = 3, most: int = 8) -> DataFrame:
-    """(id, level, parent): related memories hung under a root: level k takes up to 2 + k branches for each of the level before, in order."""
+    """(id, level): related memories, in order of place, hung under a root: level k takes up to 2 + k branches (`most` at most) for each of the level before."""
     own = related.withColumns({"i": F.row_number().over(Window.orderBy("place"))})
     rows, begin, width = [], 1, 1
     for level in range(1, depth + 1):
@@ -209,16 +209,25 @@ def principal(memories: DataFrame, as_of: int) -> DataFrame:
 
 
 def representatives(memories: DataFrame, as_of: int, k: int, seed: int = 42) -> DataFrame:
-    """(cluster, id, n, activation, age_hours, versions, ids): k-means clusters of the features, each by its memory of the highest version."""
+    """(cluster, id, n, activation, age_hours, versions, content, ids): k-means clusters of the features, each by its memory of the highest version.
+
+    content is that of the first three, joined, up to 200 characters; ids are the first ten.
+    """
     from pyspark.ml.clustering import KMeans
 
     v = _vectors(memories, as_of)
-    c = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(v).transform(v).select("id", "cluster")
+    c = stage(KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(v).transform(v).select("id", "cluster"), "clusters")
     m = memories.join(c, "id")
-    return m.groupBy("cluster").agg(
+    whole = m.groupBy("cluster").agg(
         F.max_by("id", F.struct("version", -F.col("id"))).alias("id"), F.count("*").alias("n"), F.avg("activation").alias("activation"),
-        F.avg((F.lit(as_of) - F.col("ts")) / 3600.0).alias("age_hours"), F.sum("version").alias("versions"), F.min("id").alias("first_id"),
+        F.avg((F.lit(as_of) - F.col("ts")) / 3600.0).alias("age_hours"), F.sum("version").alias("versions"),
     )
+    first = c.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).where("place <= 10")
+    first = memories.select("id", F.substring("content", 1, 201).alias("content")).join(F.broadcast(first), "id")  # ten rows a cluster
+    kept = F.array_sort(F.collect_list(F.struct("place", "id", "content")))
+    first = first.groupBy("cluster").agg(kept.alias("f")).select("cluster", F.array_join(F.slice(F.transform("f", lambda x: x["content"]), 1, 3), " | ").alias("content"), F.transform("f", lambda x: x["id"]).alias("ids"))
+    short = F.when(F.length("content") > 200, F.concat(F.substring("content", 1, 200), F.lit("..."))).otherwise(F.col("content"))
+    return whole.join(first, "cluster").withColumn("content", short)
 
 
 def cube_side(n: int) -> int:

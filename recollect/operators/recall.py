@@ -210,6 +210,11 @@ def recall(memories: DataFrame, text: str | None, tags: list[str] | None, limit:
     return tag_recall_any(memories, tags, limit) if tags else top_activated(memories, limit)
 
 
+def read_boosts(results: DataFrame, as_of: int, boost: float = 0.03) -> DataFrame:
+    """(id, ts_us, boost): the accesses that a recall leaves behind, one for each of its results."""
+    return results.select("id", F.lit(as_of * 1_000_000).alias("ts_us"), F.lit(boost).alias("boost"))
+
+
 def legacy_score(m: DataFrame, terms, as_of: int) -> Column:
     """Occurrences of the terms in the content, weighted by activation and age."""
     content = _content(m)
@@ -270,3 +275,11 @@ def quality(results: DataFrame, relevant: DataFrame) -> DataFrame:
     n = n.select("query", p.alias("precision"), c.alias("recall"))
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     return n.withColumn("f1", f1).withColumn("passed", F.col("f1") > 0.5)
+
+
+def quality_summary(q: DataFrame) -> DataFrame:
+    """(queries, precision, recall, f1, f1_deviation, pass_rate) over all queries of quality; no deviation for a single one."""
+    return q.agg(
+        F.count("*").alias("queries"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
+        F.stddev_samp("f1").alias("f1_deviation"), F.avg(F.col("passed").cast("int")).alias("pass_rate"),
+    )

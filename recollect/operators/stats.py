@@ -84,6 +84,18 @@ def running(log: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     return log.withColumns({"mean_so_far": F.avg(value).over(w), "best_so_far": F.min(value).over(w), "worst_so_far": F.max(value).over(w)})
 
 
+def searches(log: DataFrame) -> DataFrame:
+    """(tier, n, mean, best, worst) of a log of searches (tier, ms): how often each tier gave the result, and how long it took; a row with null tier for all."""
+    return log.rollup("tier").agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.min("ms").alias("best"), F.max("ms").alias("worst"))
+
+
+def performance(log: DataFrame, baseline: str) -> DataFrame:
+    """(operation, n, seconds, rate, speedup) of a log (operation, seconds): calls a second, and how many times that of the operation named as baseline."""
+    g = log.groupBy("operation").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds")).withColumn("rate", F.try_divide(F.col("n"), F.col("seconds")))
+    base = g.where(F.col("operation") == baseline).select(F.col("rate").alias("base"))  # one row
+    return g.join(F.broadcast(base), how="left").select("operation", "n", "seconds", "rate", F.try_divide(F.col("rate"), F.col("base")).alias("speedup"))
+
+
 def evictable(memories: DataFrame, threshold: float = 0.01, share: int = 10) -> DataFrame:
     """(id): of the least active tenth (one at least) those below the threshold.
 

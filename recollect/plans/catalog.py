@@ -517,9 +517,9 @@ def link_upsert(m, l):
     return _rows(graph.upsert_links(l, new, m).select("from_id", "to_id", "link_type", "weight"), weight=6)
 
 
-@register(f"SELECT from_id, to_id, round(CASE WHEN from_id = {START} AND to_id = 2 THEN 0.25 ELSE weight END::DOUBLE, 6) AS weight FROM links", "l")
+@register(f"""SELECT from_id, to_id, round(CASE WHEN from_id = {START} AND to_id = 5 AND pos = (SELECT min(pos) FROM links WHERE from_id = {START} AND to_id = 5) THEN 0.25 ELSE weight END::DOUBLE, 6) AS weight FROM links""", "l")
 def link_set_weight(l):
-    return _rows(graph.set_weight(l, START, 2, 0.25).select("from_id", "to_id", "weight"), weight=6)
+    return _rows(graph.set_weight(l, START, 5, 0.25).select("from_id", "to_id", "weight"), weight=6)
 
 
 # ---- decay
@@ -976,6 +976,121 @@ q AS (SELECT *, coalesce(sum(log_p) OVER (PARTITION BY id ORDER BY ts_us, event_
 SELECT id, round(least(1.0::DOUBLE, 0.5::DOUBLE * exp(sum(log_p)) + sum(boost * exp(later))), 6) AS activation, count(*) AS n FROM q GROUP BY id"""
 
 
+# ---- what a recall leaves behind, logs of searches and calls
+
+_CTES, _, _FINALS = _recall("balanced").rpartition(" SELECT id, round(")
+
+
+@register(f"""{_CTES}, r1 AS (SELECT id, round({_FINALS}),
+r2 AS (SELECT id, round(10.0::DOUBLE * ((list_contains({_LOWTAGS}, 'en'))::INT + (list_contains({_LOWTAGS}, 'src3'))::INT) / 2 * (1 + activation), 6) AS score FROM memories WHERE list_has_any({_LOWTAGS}, ['en', 'src3']) ORDER BY score DESC, id LIMIT {LIMIT}),
+r3 AS (SELECT id, activation FROM memories ORDER BY activation DESC, id LIMIT {LIMIT})
+SELECT 'text' AS route, id, {AS_OF}000000 AS ts_us, 0.03::DOUBLE AS boost FROM r1 UNION ALL SELECT 'tags', id, {AS_OF}000000, 0.03 FROM r2 UNION ALL SELECT 'active', id, {AS_OF}000000, 0.03 FROM r3""")
+def recall_router(m):
+    """The three routes of recall, each with the accesses that it leaves behind."""
+    routes = {"text": (TEXT, TAGS), "tags": (None, TAGS), "active": (None, None)}
+    out = [recall.read_boosts(recall.recall(m, t, g, LIMIT, AS_OF), AS_OF).select(F.lit(k).alias("route"), "id", "ts_us", "boost") for k, (t, g) in routes.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register(f"""hit AS ({_HITS}), want AS (SELECT tags[1] AS query, id FROM memories),
+n AS (SELECT w.query, (SELECT count(*) FROM hit h WHERE h.query = w.query) AS got, count(*) AS want, (SELECT count(*) FROM hit h JOIN want x ON h.query = x.query AND h.id = x.id WHERE h.query = w.query) AS hits FROM want w GROUP BY w.query),
+q AS (SELECT hits / got AS p, hits / want AS r, 2.0::DOUBLE * hits / (got + want) AS f FROM n)
+SELECT count(*) AS queries, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f1, round(stddev_samp(f), 6) AS f1_deviation, round(avg((f > 0.5)::INT), 6) AS pass_rate FROM q""")
+def quality_summary(m):
+    want = m.select(F.col("tags")[0].alias("query"), "id")
+    pairs = F.array(*[F.when(T.has_word(F.lower("content"), w), F.lit(d)) for d, w in (("en", "the"), ("de", "der"), ("fr", "les"), ("es", "los"))])
+    got = m.select(F.explode(F.array_compact(pairs)).alias("query"), "id")
+    return _rows(recall.quality_summary(recall.quality(got, want)), precision=6, recall=6, f1=6, f1_deviation=6, pass_rate=6)
+
+
+@register("""log AS (SELECT event_id % 4 + 1 AS tier, boost * 1000 AS ms FROM accesses)
+SELECT tier, count(*) AS n, round(avg(ms), 6) AS mean, round(min(ms), 6) AS best, round(max(ms), 6) AS worst FROM log GROUP BY ROLLUP (tier)""", "a")
+def search_stats(a):
+    """Accesses stand for searches: their number chooses the tier, their boost is how long they took."""
+    return _rows(stats.searches(a.select((F.col("event_id") % 4 + 1).alias("tier"), (F.col("boost") * 1000).alias("ms"))), mean=6, best=6, worst=6)
+
+
+@register("""log AS (SELECT 'op' || (event_id % 3) AS operation, boost * (1 + event_id % 3) AS seconds FROM accesses),
+g AS (SELECT operation, count(*) AS n, sum(seconds) AS seconds, count(*) / sum(seconds) AS rate FROM log GROUP BY operation)
+SELECT operation, n, round(seconds, 6) AS seconds, round(rate, 6) AS rate, round(rate / (SELECT rate FROM g WHERE operation = 'op2'), 6) AS speedup FROM g""", "a")
+def performance_stats(a):
+    log = a.select(F.concat(F.lit("op"), (F.col("event_id") % 3).cast("string")).alias("operation"), (F.col("boost") * (1 + F.col("event_id") % 3)).alias("seconds"))
+    return _rows(stats.performance(log, "op2"), seconds=6, rate=6, speedup=6)
+
+
+# ---- links of new memories, records in files, rows of other tables
+
+
+@register("""t AS (SELECT id, tags[1] AS domain, tags[1] || '_' || tags[2] AS topic FROM memories),
+p AS (
+  SELECT id, lag(id, k) OVER (PARTITION BY k, topic ORDER BY id) AS to_id, 'topic' AS kind, 0 AS rank, k FROM t, (SELECT unnest([1, 2, 3]) AS k)
+  UNION ALL SELECT id, CASE WHEN lag(topic, k) OVER w <> topic THEN lag(id, k) OVER w END, 'domain', 1, k FROM t, (SELECT unnest([1, 2]) AS k) WINDOW w AS (PARTITION BY k, domain ORDER BY id)
+  UNION ALL SELECT id, CASE WHEN id % 10 = 0 AND lag(domain, k) OVER w <> domain THEN lag(id, k) OVER w END, 'cross', 2, k FROM t, (SELECT unnest([1, 2]) AS k) WINDOW w AS (PARTITION BY k ORDER BY id))
+SELECT id AS from_id, to_id, kind FROM p WHERE to_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, k) <= 5""")
+def related_selection(m):
+    return graph.chosen_related(m, F.col("tags")[0], F.concat_ws("_", F.col("tags")[0], F.col("tags")[1]))
+
+
+_SIZES = "o AS (SELECT from_id, list(link_type) AS kinds FROM links GROUP BY from_id), z AS (SELECT id, ts, 67 + strlen(node_type) + strlen(content) + CASE WHEN version_of IS NULL THEN 0 ELSE 36 END + list_sum(list_transform(tags, lambda t: 1 + strlen(t))) + coalesce(list_sum(list_transform(kinds, lambda t: 41 + strlen(t))), 0) AS bytes FROM memories LEFT JOIN o ON id = from_id)"
+
+
+def _sizes(m: DataFrame, l: DataFrame) -> DataFrame:
+    kinds = l.groupBy(F.col("from_id").alias("id")).agg(F.collect_list("link_type").alias("kinds"))
+    size = T.record_bytes(F.col("content"), F.col("node_type"), F.col("version_of"), F.col("tags"), F.col("kinds"))
+    return m.join(kinds, "id", "left").select("id", "ts", size.cast("long").alias("bytes"))
+
+
+@register(f"{_SIZES} SELECT id // 1000 AS file, id, coalesce(sum(bytes) OVER (PARTITION BY id // 1000 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset, bytes::BIGINT AS bytes FROM z", "ml")
+def record_index(m, l):
+    return store.record_index(_sizes(m, l))
+
+
+@register(f"{_SIZES} SELECT id, rpad(id || ':update:' || ts || ':' || bytes::BIGINT, 128, ' ') AS entry FROM z", "ml")
+def journal_rows(m, l):
+    return store.journal(_sizes(m, l))
+
+
+@register("SELECT id, content FROM memories")
+def compression_round_trip(m):
+    return records.unpacked(records.packed(m, "id", "content")).select(F.col("key").alias("id"), "content")
+
+
+@register("SELECT id, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS at, (ts + 0.5)::DOUBLE AS seconds FROM memories")
+def time_conversions(m):
+    at = T.from_seconds(F.col("ts") + 0.5)
+    return m.select("id", F.date_format(F.to_utc_timestamp(T.from_seconds(F.col("ts")), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("at"), T.to_seconds(at).alias("seconds"))
+
+
+def synced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers taken in as memories."""
+    made = store.synced(read(spark, sf_dir, "customer"), "c_custkey", F.concat_ws(" of segment ", "c_name", "c_mktsegment"), ["c_mktsegment", "c_nationkey"], "fact", AS_OF)
+    return made.select("id", "content", "node_type", F.array_join("tags", ",").alias("tags"), "ts", "activation")
+
+
+def fractal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(layout.fractal(spark, 5), x=4, y=4, z=4)
+
+
+def fractal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.fractal_edges(layout.fractal(spark, 5))
+
+
+QUERIES |= {"synced_rows": synced_rows, "fractal_points": fractal_points, "fractal_edges": fractal_edges}
+ORACLES["synced_rows"] = f"SELECT c_custkey AS id, trim(c_name || ' of segment ' || c_mktsegment) AS content, 'fact' AS node_type, c_mktsegment || ',' || c_nationkey AS tags, {AS_OF}::BIGINT AS ts, 1.0::DOUBLE AS activation FROM customer"
+_POINTS = "p AS (SELECT i + (4 ** level - 1) / 3 AS point, level, i / (4 ** level) * 2 * pi() AS t FROM (SELECT unnest(range(5)) AS level) l, LATERAL (SELECT unnest(range((4 ** level)::BIGINT)) AS i))"
+ORACLES["fractal_points"] = f"""WITH {_POINTS}, q AS (SELECT *, 0.2::DOUBLE * sin(t * (level + 1)) * cos(t * (level + 2)) AS noise, 1 + level * 0.8::DOUBLE AS r FROM p)
+SELECT point::BIGINT AS point, level::INTEGER AS level, round(r * cos(t) + noise, 4) AS x, round(r * sin(t) + noise, 4) AS y, round(level * 1.5::DOUBLE + 0.3::DOUBLE * sin(t * 3), 4) AS z FROM q"""
+ORACLES["fractal_edges"] = f"WITH {_POINTS} SELECT point::BIGINT AS a, unnest(range(((4 ** (level + 1) - 1) / 3)::BIGINT, ((4 ** (level + 1) - 1) / 3)::BIGINT + 4)) AS b FROM p WHERE level < 4"
+
+
+@register("""root AS (SELECT id, tags FROM memories ORDER BY activation DESC, id LIMIT 1),
+near AS (SELECT m.id, row_number() OVER (ORDER BY m.id) AS place FROM memories m, root r WHERE m.id <> r.id AND (m.tags[1] = r.tags[1] OR list_has_any(m.tags, r.tags)) ORDER BY m.id LIMIT 20)
+SELECT id, 0 AS level FROM root UNION ALL SELECT id, CASE WHEN place <= 3 THEN 1 WHEN place <= 15 THEN 2 ELSE 3 END FROM near""")
+def fractal_tree(m):
+    found = layout.explorer(m)
+    return layout.branches(found.where("place = 0"), found.where("place > 0"))
+
+
 # ---- conversations
 
 

@@ -90,3 +90,28 @@ def chunk_links(chunks: DataFrame, key: str, back: int = 3) -> DataFrame:
     """(key, from_no, to_no): every chunk to up to `back` of those before it. Places suffice, so there is no join."""
     first = F.greatest(F.lit(0), F.col("chunk_no") - back)
     return chunks.where("chunk_no > 0").select(key, F.col("chunk_no").alias("from_no"), F.explode(F.sequence(first, F.col("chunk_no") - 1)).alias("to_no"))
+
+
+def record_index(sizes: DataFrame, each: int | None = 1000) -> DataFrame:
+    """(file, id, offset, bytes) of records (id, bytes) written `each` ids to a file (without it: to their column file), in order of id: where each record begins."""
+    from pyspark.sql import Window
+
+    own = sizes.withColumn("file", F.expr(f"id div {each}")) if each else sizes
+    before = Window.partitionBy("file").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select("file", "id", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"), "bytes")
+
+
+def journal(changes: DataFrame, operation: str = "update") -> DataFrame:
+    """(id, entry): a header of 128 characters for each change (id, ts, bytes), as an append-only audit table keeps it."""
+    return changes.select("id", F.rpad(F.concat_ws(":", F.col("id").cast("string"), F.lit(operation), F.col("ts").cast("string"), F.col("bytes").cast("string")), 128, " ").alias("entry"))
+
+
+def synced(rows: DataFrame, key: str, content, tags: list[str], node_type: str, as_of: int) -> DataFrame:
+    """Rows of any table, read by whatever source, as new memories: key is their id, content an expression, tags some columns."""
+    b = rows.select(F.col(key).cast("long").alias("id"), content.alias("content"), F.lit(node_type).alias("node_type"), F.array_compact(F.array(*[F.col(t).cast("string") for t in tags])).alias("tags"))
+    return new_memories(b, as_of)
+
+
+def from_database(spark, url: str, table: str, key: str, content, tags: list[str], node_type: str, as_of: int, **options) -> DataFrame:
+    """synced over a table of a database; options as for Spark's jdbc source (partitionColumn and so on)."""
+    return synced(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), key, content, tags, node_type, as_of)

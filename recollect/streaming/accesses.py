@@ -44,24 +44,75 @@ def sessions(a: DataFrame, gap: str = "6 hours", late: str | None = None) -> Dat
     return g.select("id", F.unix_micros("w.start").alias("start_us"), "n")
 
 
-def activations(a: DataFrame, first: float = 0.5, decay_rate: float = 1e-6) -> DataFrame:
+def activations(a: DataFrame, first: float = 0.5, decay_rate: float = 1e-6, idle: str | None = None) -> DataFrame:
     """A stream (id, activation, ts_us, n) of each memory's state after each batch: decayed since its last access, boosted by each.
 
     Every memory begins at `first` with its first access. Accesses of a batch are taken in order of time; one that
-    comes later than those counted already boosts without decay.
+    comes later than those counted already boosts without decay. idle: a memory without access for so long, by the
+    watermark of that length, is forgotten: a last row with n = -1 says so, and its state is removed; else state stays.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            act, last, _ = state.get
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "activation": [act], "ts_us": [last], "n": [-1]})
+            return
         rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        act, last, n = state.get if state.exists else (first, int(rows["ts_us"].iloc[0]), 0)
-        for t, b in zip(rows["ts_us"], rows["boost"]):
-            act *= float(np.exp(-decay_rate * max(0, t - last) / 1e6))
-            act = min(1.0, act + (1 - act) * b)
-            last, n = max(last, int(t)), n + 1
+        t, boost = rows["ts_us"].to_numpy(np.int64), rows["boost"].to_numpy(float)
+        act, last, n = state.get if state.exists else (first, int(t[0]), 0)
+        # decay and boost are maps a -> p * a + q, so all of a batch are one product and one sum
+        seen = np.maximum.accumulate(np.append(last, t))
+        log_p = np.log1p(-boost) - decay_rate * np.maximum(0, t - seen[:-1]) / 1e6
+        after = np.append(np.cumsum(log_p[::-1])[::-1][1:], 0.0)
+        act = min(1.0, float(act * np.exp(log_p.sum()) + (boost * np.exp(after)).sum()))
+        last, n = int(seen[-1]), n + len(t)
         state.update((act, last, n))
+        if idle:
+            state.setTimeoutTimestamp(max(last // 1000 + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"id": [key[0]], "activation": [act], "ts_us": [last], "n": [n]})
 
-    return a.groupBy("id").applyInPandasWithState(update, f"id long, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout)
+    if not idle:
+        return a.groupBy("id").applyInPandasWithState(update, f"id long, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout)
+    span = int(pd.Timedelta(idle).total_seconds() * 1000)
+    a = a.withColumn("at", seconds("ts_us")).withWatermark("at", idle)
+    return a.groupBy("id").applyInPandasWithState(update, f"id long, {_STATE}", _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def thresholds(searches: DataFrame, base: float = 0.1, keep: int = 20) -> DataFrame:
+    """A stream (context, threshold, n) of the adaptive threshold of each context after its searches (context, at_us, results, words), which are taken in order of time; the last `keep` thresholds are its state."""
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["at_us", "results", "words"])
+        history, n = list(state.get[0]) if state.exists else [], state.get[1] if state.exists else 0
+        for results, words in zip(rows["results"], rows["words"]):
+            history = [*history, threshold(base, int(results), int(words), key[0], history)][-keep:]
+        n += len(rows)
+        state.update((history, n))
+        yield pd.DataFrame({"context": [key[0]], "threshold": [history[-1]], "n": [n]})
+
+    return searches.groupBy("context").applyInPandasWithState(update, "context string, threshold double, n long", "history array<double>, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def threshold(base: float, results: int, words: int, context: str, history: list[float]) -> float:
+    """As operators.recall.adaptive_threshold, of one search."""
+    x = base * (0.5 if results < 3 else 1.5 if results > 30 else 1.2 if results > 15 else 1.0)
+    x *= 0.8 if words > 6 else 0.9 if words > 3 else 1.3 if words == 1 else 1.0
+    x *= {"precise": 1.4, "broad": 0.7}.get(context, 1.0)
+    if len(history) > 5:
+        x = (x + sum(history[-5:]) / 5) / 2
+    return max(0.01, min(0.6, x))
+
+
+def maintenance(ticks: DataFrame, memories, decayed, write, every: str = "60 seconds"):
+    """A query that decays the store with each tick of a stream, for as long as it runs. memories() reads the table, decayed(table, seconds) gives it as of a second, write(table, number) replaces it; a tick that is run again replaces its own."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        at = batch.agg(F.max("timestamp").cast("long").alias("s")).first().s
+        if at is not None:
+            write(decayed(memories(), at), number)
+
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", shared_path(ticks.sparkSession, "maintenance")).trigger(processingTime=every)
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

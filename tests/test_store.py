@@ -320,6 +320,111 @@ def test_store(spark, tmp_path):
     assert Store.restore(spark, str(tmp_path / "copy")).memories.count() == 3
 
 
+def test_store_verbs_and_notes(spark):
+    from recollect.api import Store
+
+    s = Store(spark)
+    one = s.insert("old and weak", as_of=0, decay_rate=1.0)
+    s.put(spark.createDataFrame([("k1", "first text"), ("k2", "second text")], "id string, content string"), 5)
+    s.put(spark.createDataFrame([("k2", "second text again"), ("k3", " ")], "id string, content string"), 6)
+    assert s.statistics()["pending"] == 2 and s.flush() == 2 and s.flush() == 0
+    assert {r.id: r.content for r in s.memories.collect()} == {one: "old and weak", "k1": "first text", "k2": "second text again"}
+    held = s.by_type("fact")
+    s.link("k1", "k2", 0.4)
+    s.link("k1", "k2", 0.9, "cites")
+    s.set_weight("k1", "k2", 0.2)
+    assert sorted((r.link_type, r.weight) for r in s.links.collect()) == [("cites", 0.9), ("related", 0.2)]
+    with pytest.raises(KeyError):
+        s.set_weight("k2", "k1", 0.2)
+    with pytest.raises(KeyError):
+        s.update_activation("nobody")
+    before = s.get("k1", as_of=5).first().activation
+    assert s.update_activation("k1", as_of=100) < before <= 1
+    assert s.cleanup(as_of=100) == 1 and s.memories.count() == 2 and held.count() == 3
+    s.sync(spark.createDataFrame([(7, "Ann", "north")], "key int, name string, region string"), "key", F.col("name"), ["region"], as_of=100)
+    assert s.by_tags(["NORTH"]).first().content == "Ann"
+    note, page = s.add_note("Title", "a body", "ideas", ["x"]), s.add_book_note("The Book", "An Author", 3, "so it is")
+    s.add_article("http://example.org", "Page", "says this")
+    assert s.get(note).first().tags == ["ideas", "note", "x"] and [r.id for r in s.by_tags(["the_book"]).collect()] == [page]
+    found = s.search("second text", as_of=600, note=True)
+    assert s.accesses.count() == found.count() > 0
+    index = s.record_index().collect()
+    assert {r.id: r.bytes for r in index} == {r.id: r.bytes for r in s.record_sizes().collect()} and min(r.offset for r in index) == 0
+    assert all(len(r.entry) == 128 and r.entry.startswith(r.id + ":update:") for r in s.journal().collect())
+    s.close()
+    assert s.memories.count() == 0
+
+
+def test_weights_quality_and_logs(spark):
+    from recollect.functions.measure import Log
+
+    q = spark.createDataFrame([("a", 1.0, 0.5, 0.6, True), ("b", 0.0, 0.5, 0.2, False)], "query string, precision double, recall double, f1 double, passed boolean")
+    r = recall.quality_summary(q).first()
+    assert (r.queries, r.precision, r.pass_rate) == (2, 0.5, 0.5) and r.f1_deviation == pytest.approx(0.2828427)
+    log = Log()
+    f = log.timed(lambda x: 1 / x)
+    assert f(2) == 0.5
+    with pytest.raises(ZeroDivisionError):
+        f(0)
+    g = {r.operation: r for r in stats.performance(log.table(spark), "<lambda>").collect()}
+    assert g["<lambda>"].n == 2 and g["<lambda>"].speedup == 1
+    s = {r.tier: r.n for r in stats.searches(spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 1.0)], "tier int, ms double")).collect()}
+    assert s == {1: 2, 2: 1, None: 3}
+
+
+def test_words_and_tokens_are_found_without_taking_texts_apart(spark):
+    from recollect.functions import text as T
+
+    texts = ["The cat, sat", "cat's cat", "concat", "", "CAT_x cat", "a\tcat\u00a0b cat.", "\u00e9cat cat\u00e9"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for w in ("cat", "cat,", "cat.", "cat's", "s", "\u00e9cat"):
+        r = df.select(T.has_word(F.lower("t"), w).alias("a"), F.array_contains(T.words(F.col("t")), w).alias("b"), T.has_token(F.lower("t"), w).alias("c"), F.array_contains(T.tokens(F.col("t")), w).alias("d")).collect()
+        assert all(x.a == x.b and x.c == x.d for x in r), (w, r)
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    from recollect.plans import shared
+
+    right = shared.stage(spark.range(1000).withColumnRenamed("id", "k"), "right")
+    left = spark.range(1000).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda: shared.join_sized(left, right, "k", "inner", 8)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan()
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", 7999)
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shared.unused("a", left.toDF("A"), right.toDF("_a")) == "__a"
+
+
+def test_streams_that_forget_and_keep_thresholds(spark, tmp_path):
+    from recollect.streaming import accesses as streams
+
+    def drained(rows, schema, make, name):
+        folder = tmp_path / name
+        out = []
+        for n, batch in enumerate(rows):
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(folder))
+            q = make(spark.readStream.schema(schema).parquet(str(folder))).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / f"{name}-at")).trigger(availableNow=True)
+            q = q.foreachBatch(lambda b, _: out.extend(b.collect())).start()
+            q.awaitTermination()
+        return out
+
+    day = 86_400_000_000
+    rows = [[(1, 1000 * day, 1, 0.1), (2, 1000 * day, 2, 0.1)], [(2, 1010 * day, 3, 0.1)], [(2, 1011 * day, 4, 0.1)]]
+    out = drained(rows, "id long, ts_us long, event_id long, boost double", lambda a: streams.activations(a, idle="1 day"), "idle")
+    assert [r.n for r in out if r.id == 1] == [1, -1] and max(r.n for r in out if r.id == 2) >= 2
+    rows = [[("broad", i, 5, 2) for i in range(7)], [("broad", 9, 0, 1), ("precise", 9, 40, 8)]]
+    out = drained(rows, "context string, at_us long, results long, words long", streams.thresholds, "thresholds")
+    history = []
+    for results, words in [(5, 2)] * 7 + [(0, 1)]:
+        history.append(streams.threshold(0.1, results, words, "broad", history))
+    last = {r.context: r for r in out}
+    assert last["broad"].threshold == pytest.approx(history[-1]) and last["broad"].n == 8
+    assert last["precise"].threshold == pytest.approx(0.1 * 1.5 * 0.8 * 1.4)
+
+
 def test_commands(spark, tmp_path, capsys):
     from recollect.cli import main
 
@@ -329,6 +434,11 @@ def test_commands(spark, tmp_path, capsys):
     assert main([folder, "search", "milk"], spark) == 0 and json.loads(capsys.readouterr().out)["id"] == ident
     assert main([folder, "search-tags", "shop"], spark) == 0 and main([folder, "get", "none"], spark) == 1 and main([folder, "insert", " "], spark) == 2
     assert main([folder, "stats"], spark) == 0
+    capsys.readouterr()
+    assert main([folder, "health"], spark) == 0 and json.loads(capsys.readouterr().out)["ok"]
+    assert main([folder, "shell"], spark, ["insert 'a second thing'", "", "search second", "nonsense", "exit", "stats"]) == 2
+    assert json.loads(capsys.readouterr().out.splitlines()[1])["content"] == "a second thing"
+    assert main([folder, "cleanup", "--least", "2"], spark) == 0 and json.loads(capsys.readouterr().out) == {"removed": 2}
 
 
 def test_tables_that_are_empty(spark):
