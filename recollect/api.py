@@ -20,6 +20,9 @@ MEMORIES = "id string, content string, node_type string, version int, ts long, a
 LINKS = "from_id string, to_id string, weight double, link_type string, pos int"
 ACCESSES = "id string, ts_us long, event_id long, boost double"
 
+#: Parts that a table may have before they are written together.
+PARTS = 16
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -37,7 +40,7 @@ class Settings:
 
 @dataclass
 class Store:
-    """Tables are immutable snapshots: a change writes a new one to the shared folder and switches to it.
+    """Tables are immutable: new rows are written beside the parts that a table has, any other change writes it anew.
 
     Reading changes nothing. Accesses are rows of their own, folded into activations by `settle`. All times are given.
     Batches that are `put` wait until they are `flush`ed together, as they are by any reading of statistics or change.
@@ -53,6 +56,7 @@ class Store:
         ship(self.spark)
         self._pending: list[tuple[DataFrame, int]] = []
         self._own: list[DataFrame] = []
+        self._parts: dict[str, int] = {}
         for name, schema in (("memories", MEMORIES), ("links", LINKS), ("accesses", ACCESSES)):
             if getattr(self, name) is None:
                 setattr(self, name, self.spark.createDataFrame([], schema))
@@ -61,6 +65,16 @@ class Store:
         staged = stage(df, name)
         setattr(self, name, staged)
         self._own.append(staged)  # the one before stays until the store is closed: results may be lazy
+        self._parts[name] = 0
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        """Write rows alone, beside the parts that the table has; many parts are written together."""
+        staged = stage(rows, name)
+        self._own.append(staged)
+        setattr(self, name, getattr(self, name).unionByName(staged))
+        self._parts[name] = self._parts.get(name, 0) + 1
+        if self._parts[name] > PARTS:
+            self._set(name, getattr(self, name))
 
     @staticmethod
     def _now(as_of: int | None) -> int:
@@ -85,6 +99,11 @@ class Store:
         return len(waiting)
 
     def _write(self, new: DataFrame) -> None:
+        """Append memories, or write the table anew where some of them exist."""
+        new = stage(new, "new")
+        if self.memories.join(new.select("id"), "id", "left_semi").isEmpty() and new.groupBy("id").count().where("count > 1").isEmpty():
+            self._append("memories", new.select(*[F.col(c).cast(self.memories.schema[c].dataType).alias(c) for c in self.memories.columns]))
+            return
         self._set("memories", store.upsert(self.memories, new).select(*[F.col(c).cast(self.memories.schema[c].dataType).alias(c) for c in self.memories.columns]))
 
     def insert_many(self, batch: DataFrame, related: DataFrame | None = None, as_of: int | None = None) -> None:
@@ -92,10 +111,10 @@ class Store:
         new = store.new_memories(batch, self._now(as_of)).select(*self.memories.columns)
         self._write(new)
         if related is not None:
-            self._set("links", self.links.unionByName(store.related_links(self.memories, related).select(*[F.col(c).cast(self.links.schema[c].dataType).alias(c) for c in self.links.columns])))
+            self._append("links", store.related_links(self.memories, related).select(*[F.col(c).cast(self.links.schema[c].dataType).alias(c) for c in self.links.columns]))
 
     def insert(self, content: str, node_type: str = "fact", tags: list[str] | None = None, related: Iterable[str] = (), as_of: int | None = None, version_of: str | None = None, decay_rate: float = 0.02) -> str:
-        """Add one memory and return its id; a blank content is an error. Each call writes a snapshot: for many use insert_many, or put and flush."""
+        """Add one memory and return its id; a blank content is an error. Each call writes a part of its own: for many use insert_many, or put and flush."""
         if not content or not content.strip():
             raise ValueError("a memory needs a content")
         ident = str(uuid.uuid4())
@@ -113,10 +132,10 @@ class Store:
         first = chain.agg(F.max("root").alias("root"), (F.max("version") + 1).alias("next")).first()
         old = store.point(self.memories, of)
         row = old.withColumns({"id": F.lit(ident), "content": F.lit(content), "version": F.lit(first.next), "ts": F.lit(self._now(as_of)).cast("long"), "activation": F.lit(1.0), "version_of": F.lit(first.root)})
-        self._set("memories", self.memories.unionByName(row))
+        self._append("memories", row)
         kept = self.links.where(F.col("from_id") == of).withColumn("from_id", F.lit(ident))
         to_root = self.spark.createDataFrame([(ident, first.root, store.VERSION, "version", 1 << 20)], LINKS)
-        self._set("links", self.links.unionByName(kept).unionByName(to_root))
+        self._append("links", kept.unionByName(to_root))
         return ident
 
     def link(self, from_id: str, to_id: str, weight: float = 0.5, link_type: str = "related") -> None:
@@ -133,7 +152,7 @@ class Store:
         """Note accesses, to be folded into activations later."""
         at = self._now(as_of) * 1_000_000
         rows = [(i, at, k, self.settings.boost if boost is None else boost) for k, i in enumerate(ids)]
-        self._set("accesses", self.accesses.unionByName(self.spark.createDataFrame(rows, ACCESSES)))
+        self._append("accesses", self.spark.createDataFrame(rows, ACCESSES))
 
     def settle(self, as_of: int | None = None) -> None:
         """Fold accesses and decay into the activations, which then are as of that time."""

@@ -717,7 +717,7 @@ def shard_get(m):
     return sharding.routed(m, [7, 42, 99, 1 << 40], SHARDS).select("id", "content", "shard")
 
 
-@register(f"{_SHARDED} SELECT id, CASE WHEN id % 10 = 0 THEN 'changed ' || content ELSE content END AS content, shard FROM own UNION ALL SELECT id + 1000000000, content, {_at('ring', 'id + 1000000000')} FROM own WHERE id % 50 = 0")
+@register(f"{_SHARDED} SELECT id, CASE WHEN id % 10 = 0 THEN 'changed ' || content ELSE content END AS content, shard FROM own UNION ALL SELECT id + 1000000000, content, {_at('ring', '(id + 1000000000)')} FROM own WHERE id % 50 = 0")
 def shard_upsert(m):
     changed = m.where("id % 10 = 0").withColumn("content", F.concat(F.lit("changed "), "content"))
     added = m.where("id % 50 = 0").withColumn("id", F.col("id") + 1000000000)
