@@ -248,6 +248,26 @@ class Store:
     # the names that a storage adapter has
     read_node_by_id = get_node = get
 
+    def append_node(self, batch: DataFrame, as_of: int | None = None) -> None:
+        self.insert_many(batch, as_of=as_of)
+
+    def update_node(self, changed: DataFrame) -> None:
+        """Whole rows in place of those with their id, and new ones; the larger activation stays."""
+        self._write(changed.select(*self.memories.columns))
+
+    def apply_global_decay(self, as_of: int | None = None) -> int:
+        """Settle all accesses and decay; gives the number of memories."""
+        self.settle(as_of)
+        return self.memories.count()
+
+    def get_storage_stats(self) -> dict:
+        return self.statistics()
+
+    def optimize(self) -> None:
+        """Write every table as one part."""
+        for name in ("memories", "links", "accesses"):
+            self._set(name, getattr(self, name))
+
     def get_all_nodes(self) -> DataFrame:
         return self.memories
 

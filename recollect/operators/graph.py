@@ -237,3 +237,16 @@ def chosen_related(memories: DataFrame, domain, topic, most: int = 5) -> DataFra
     every = reduce(DataFrame.unionByName, found)
     place = F.row_number().over(Window.partitionBy("from_id").orderBy("rank", "k"))
     return every.withColumn("place", place).where(F.col("place") <= most).select("from_id", "to_id", "kind")
+
+
+def sampled_links(memories: DataFrame, domain, most: int = 100, of: int = 10, keep: int = 3, day: int = 86400) -> DataFrame:
+    """(a, b, link_type), a < b: of the pairs among the `most` most active memories those that a number made of their ids picks, `keep` of `of`, typed as by typed.
+
+    The `most` rows are one array, which is taken apart into pairs.
+    """
+    top = memories.select("id", domain.alias("d"), "ts", "activation").orderBy(F.desc("activation"), "id").limit(most)
+    one = top.agg(F.array_sort(F.collect_list(F.struct("id", "d", "ts"))).alias("m"))
+    first = one.select("m", F.posexplode("m").alias("i", "x"))
+    pairs = first.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y")).where((F.col("x.id") * 31 + F.col("y.id") * 17) % of < keep)
+    kind = F.when(F.col("x.d") == F.col("y.d"), "semantic").when(F.abs(F.col("x.ts") - F.col("y.ts")) < day, "temporal").otherwise("associative")
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), kind.alias("link_type"))

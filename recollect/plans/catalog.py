@@ -1061,6 +1061,18 @@ def time_conversions(m):
     return m.select("id", F.date_format(F.to_utc_timestamp(T.from_seconds(F.col("ts")), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("at"), T.to_seconds(at).alias("seconds"))
 
 
+@register("""top AS (SELECT id, tags[1] AS d, ts FROM memories ORDER BY activation DESC, id LIMIT 100)
+SELECT a.id AS a, b.id AS b, CASE WHEN a.d = b.d THEN 'semantic' WHEN abs(a.ts - b.ts) < 86400 THEN 'temporal' ELSE 'associative' END AS link_type FROM top a JOIN top b ON a.id < b.id WHERE (a.id * 31 + b.id * 17) % 10 < 3""")
+def sampled_links(m):
+    return graph.sampled_links(m, F.col("tags")[0])
+
+
+def generated_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.sources import generated
+
+    return generated.tree(spark)
+
+
 def synced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers taken in as memories."""
     made = store.synced(read(spark, sf_dir, "customer"), "c_custkey", F.concat_ws(" of segment ", "c_name", "c_mktsegment"), ["c_mktsegment", "c_nationkey"], "fact", AS_OF)
@@ -1075,7 +1087,10 @@ def fractal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.fractal_edges(layout.fractal(spark, 5))
 
 
-QUERIES |= {"synced_rows": synced_rows, "fractal_points": fractal_points, "fractal_edges": fractal_edges}
+QUERIES |= {"generated_tree": generated_tree, "synced_rows": synced_rows, "fractal_points": fractal_points, "fractal_edges": fractal_edges}
+ORACLES["generated_tree"] = """WITH n AS (SELECT unnest(range(100)) AS id), q AS (SELECT id, id % 20 AS p, id // 20 AS domain FROM n)
+SELECT id, CASE WHEN p = 0 THEN NULL WHEN p < 4 THEN id - p WHEN p < 10 THEN id - p + 1 + (p - 4) % 3 ELSE id - p + 4 + (p - 10) % 6 END AS parent, domain,
+CASE WHEN p = 0 THEN 'domain_root' WHEN p < 4 THEN 'topic' WHEN p < 10 THEN 'subtopic' ELSE 'concept' END AS node_type, CASE WHEN p = 0 THEN 1 WHEN p < 4 THEN 2 WHEN p < 10 THEN 3 ELSE 4 END AS level FROM q"""
 ORACLES["synced_rows"] = f"SELECT c_custkey AS id, trim(c_name || ' of segment ' || c_mktsegment) AS content, 'fact' AS node_type, c_mktsegment || ',' || c_nationkey AS tags, {AS_OF}::BIGINT AS ts, 1.0::DOUBLE AS activation FROM customer"
 _POINTS = "p AS (SELECT i + (4 ** level - 1) / 3 AS point, level, i / (4 ** level) * 2 * pi() AS t FROM (SELECT unnest(range(5)) AS level) l, LATERAL (SELECT unnest(range((4 ** level)::BIGINT)) AS i))"
 ORACLES["fractal_points"] = f"""WITH {_POINTS}, q AS (SELECT *, 0.2::DOUBLE * sin(t * (level + 1)) * cos(t * (level + 2)) AS noise, 1 + level * 0.8::DOUBLE AS r FROM p)

@@ -35,3 +35,12 @@ def links(spark: SparkSession, n: int, most: int = 5, seed: int = 42) -> DataFra
     first = F.filter(to, lambda x, p: ~F.exists(F.slice(to, F.lit(1), p), lambda y: y["to_id"] == x["to_id"]))
     one = spark.range(1, n).select(F.col("id").alias("from_id"), F.explode(first).alias("l"))
     return one.select("from_id", "l.to_id", ((F.pmod(F.xxhash64("from_id", "l.to_id"), F.lit(8)) + 2) / 10.0).alias("weight"), F.lit("related").alias("link_type"), (F.col("l.k") - 1).alias("pos"))
+
+
+def tree(spark: SparkSession, domains: int = 5, each: int = 20) -> DataFrame:
+    """(id, parent, domain, node_type, level): a tree for each domain, of a root, three topics, six subtopics and concepts; everything hangs under the nodes of the level before in turn."""
+    p = F.col("id") % each
+    level = F.when(p == 0, 1).when(p < 4, 2).when(p < 10, 3).otherwise(4)
+    above = F.when(p == 0, F.lit(None)).when(p < 4, F.lit(0)).when(p < 10, 1 + (p - 4) % 3).otherwise(4 + (p - 10) % 6)
+    kind = F.element_at(F.array(*map(F.lit, ("domain_root", "topic", "subtopic", "concept"))), level)
+    return spark.range(domains * each).select("id", (F.col("id") - p + above).cast("long").alias("parent"), F.expr(f"id div {each}").alias("domain"), kind.alias("node_type"), level.alias("level"))

@@ -351,6 +351,11 @@ def test_store_verbs_and_notes(spark):
     index = s.record_index().collect()
     assert {r.id: r.bytes for r in index} == {r.id: r.bytes for r in s.record_sizes().collect()} and min(r.offset for r in index) == 0
     assert all(len(r.entry) == 128 and r.entry.startswith(r.id + ":update:") for r in s.journal().collect())
+    n = s.memories.count()
+    s.update_node(s.memories.where("id = 'k1'").withColumn("content", F.lit("changed")))
+    s.append_node(spark.createDataFrame([("k9", "ninth")], "id string, content string"), as_of=100)
+    s.optimize()
+    assert s.apply_global_decay(as_of=100) == n + 1 == s.get_storage_stats()["total"] and s.get("k1").first().content == "changed"
     s.close()
     assert s.memories.count() == 0
 
@@ -415,6 +420,11 @@ def test_streams_that_forget_and_keep_thresholds(spark, tmp_path):
     rows = [[(1, 1000 * day, 1, 0.1), (2, 1000 * day, 2, 0.1)], [(2, 1010 * day, 3, 0.1)], [(2, 1011 * day, 4, 0.1)]]
     out = drained(rows, "id long, ts_us long, event_id long, boost double", lambda a: streams.activations(a, idle="1 day"), "idle")
     assert [r.n for r in out if r.id == 1] == [1, -1] and max(r.n for r in out if r.id == 2) >= 2
+    ticks, kept = tmp_path / "ticks", []
+    spark.sql("select timestamp_seconds(1000) as timestamp").coalesce(1).write.parquet(str(ticks))
+    m = spark.createDataFrame([(1, 1.0)], "id long, activation double")
+    streams.maintenance(spark.readStream.schema("timestamp timestamp").parquet(str(ticks)), lambda: m, lambda t, at: t.withColumn("at", F.lit(at)), lambda t, n: kept.extend(t.collect())).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.id, r.at) for r in kept] == [(1, 1000)]
     rows = [[("broad", i, 5, 2) for i in range(7)], [("broad", 9, 0, 1), ("precise", 9, 40, 8)]]
     out = drained(rows, "context string, at_us long, results long, words long", streams.thresholds, "thresholds")
     history = []
