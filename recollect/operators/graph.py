@@ -107,25 +107,26 @@ def find_path(spark, links: DataFrame, start: int, goal: int, depth: int = 3, le
 def components(links: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, component): the smallest memory from which each can be reached over links of at least that weight; components of more than one.
 
-    Labels travel along links, from those that changed in the last round only, and every node then takes the label of its
-    label; so a round moves what is still in motion. Every round is written to the shared folder in place of the last.
+    A round carries labels over up to UNROLLED links, from those that changed in the last round only, and every node then
+    takes the label of its label; so a round moves what is still in motion, as one job. Every round is written to the shared
+    folder in place of the last.
     """
     edges = stage(links.where(F.col("weight") >= least).select("from_id", "to_id").distinct(), "edges")
     ids = edges.select(F.col("from_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("id"))).distinct()
     labels = stage(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
-        over = labels.where("moved").join(edges, labels["id"] == edges["from_id"]).select(F.col("to_id").alias("id"), "label", F.lit(None).cast("long").alias("old"))
-        new = labels.select("id", "label", F.col("label").alias("old")).unionByName(over).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        new = stage(new, "labels")
+        every, front = labels.select("id", "label", F.col("label").alias("old")), labels.where("moved").select("id", "label")
+        for _ in range(UNROLLED):
+            over = front.join(edges, front["id"] == edges["from_id"]).select(F.col("to_id").alias("id"), "label")
+            front = over.groupBy("id").agg(F.min("label").alias("label"))
+            every = every.unionByName(front.withColumn("old", F.lit(None).cast("long")))
+        new = every.groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        new = stage(new.join(up, "label").select("id", F.col("up").alias("label"), (F.col("up") != F.col("old")).alias("moved")), "labels")
         discard(labels)
-        changed = new.where("label != old").select("id", "label")
-        if changed.isEmpty():
-            labels = new
+        labels = new
+        if labels.where("moved").isEmpty():
             break
-        up = changed.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new_labels = new.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label"), (F.coalesce("up", "label") != F.col("old")).alias("moved"))
-        labels = stage(new_labels, "labels")
-        discard(new)
     sizes = stage(labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "components")
     return join_sized(labels.select("id", "label"), sizes, "label", "left_semi", 16).select("id", F.col("label").alias("component"))
 
