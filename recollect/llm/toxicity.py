@@ -131,6 +131,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int = 3) -
     some = off[:-1][np.diff(off) > 0]
     even = 1 / np.diff(off)[owner_of]
     step = min(BATCH, max(64, len(begin) // 100))
+    touched, place = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int64)
     for r in range(rounds):
         weight = even
         if r:
@@ -148,8 +149,12 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int = 3) -
             y = y_all[w]
             f, owner = _bags_of(data, begin[w], end[w])
             n = np.maximum(np.bincount(owner, minlength=len(w)), 1).astype(np.float32)
-            e = model.embedding[f]
-            hidden = np.stack([np.bincount(owner, e[:, k], len(w)) for k in range(DIM)], 1).astype(np.float32) / n[:, None]
+            touched[f] = True
+            own = np.flatnonzero(touched)  # the buckets of this batch: no other has a gradient
+            touched[own] = False
+            place[own] = np.arange(len(own))
+            at_own, e = place[f], model.embedding[own].T.astype(np.float64)
+            hidden = np.stack([np.bincount(owner, x[at_own], len(w)) for x in e], 1).astype(np.float32) / n[:, None]
             z = hidden @ model.weight + model.bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -160,10 +165,10 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int = 3) -
             for part, grad, square in ((model.weight, hidden.T @ g, squares[1]), (model.bias, g.sum(0), squares[2])):
                 square += (grad**2).astype(np.float32)
                 part -= (0.1 * grad / np.sqrt(square)).astype(np.float32)
-            per = (g_hidden / n[:, None])[owner]
-            grad = np.stack([np.bincount(f, per[:, k], 1 << BITS) for k in range(DIM)], 1)
-            squares[0] += (grad**2).mean(1).astype(np.float32)
-            model.embedding -= (0.1 * grad / np.sqrt(squares[0])[:, None]).astype(np.float32)
+            per = np.ascontiguousarray((g_hidden / n[:, None]).T, np.float64)
+            grad = np.stack([np.bincount(at_own, x[owner], len(own)) for x in per], 1)
+            squares[0][own] += (grad**2).mean(1).astype(np.float32)
+            model.embedding[own] -= (0.1 * grad / np.sqrt(squares[0][own])[:, None]).astype(np.float32)
     rest = np.flatnonzero(held)
     if toxic[rest].all() or not toxic[rest].any():
         rest = np.arange(len(raw))
