@@ -90,7 +90,7 @@ def _earliest(batches):
         yield from work(*held)
 
 
-def repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY, by_bytes: bool = False) -> DataFrame:
     """(doc_id, line_no, th, first_doc_id, first_line_no, edits): every line to remove, and the earliest line that it repeats.
 
     Places are ordered by doc_id, hash of the text, line number (from 0). Of equal lines the first stays. A distinct
@@ -98,7 +98,7 @@ def repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     followed on from line to line: also a line that itself goes counts as the earlier one. Lines of fewer than min_fuzzy
     characters must be equal. Lines of nothing but white space, and rows with null doc_id or text, are left alone. Rows that
     repeat a doc_id and text are one document. An empty table has no repeated lines. Other columns are not read, whatever
-    their names.
+    their names. An edit is one of a character or, by_bytes, of a byte of UTF-8, as DuckDB counts it: then "É" for "E" are two.
 
     Every line that shares a half with another is posted under the hashes of what deleting one character leaves, and
     under its own. What meets is reduced to its earliest line where it meets, so no pairs are formed; the edit distance to
@@ -114,7 +114,9 @@ def repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     near = stage(halves.join(shared, "key", "left_semi").select("h", "g", "first").distinct(), "suspects")
     text = join_sized(_lines(docs), near.select("h", "g", "first.*"), ["doc_id", "th", "line_no"], "inner", 64)
-    text = text.select("h", "g", F.struct("doc_id", "th", "line_no").alias("first"), "line").dropDuplicates(["h", "g"])
+    # a character for each byte; one edit of a byte is one of a character too, so halves lose none
+    line = F.decode(F.encode("line", "UTF-8"), "ISO-8859-1").alias("line") if by_bytes else F.col("line")
+    text = text.select("h", "g", F.struct("doc_id", "th", "line_no").alias("first"), line).dropDuplicates(["h", "g"])
     # range-partitioned and sorted by place, so that a smaller id is an earlier line
     text = stage(text.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id()), "texts")
 

@@ -20,7 +20,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents")).drop("th")
+    """Edits are counted in bytes, as levenshtein does in the SQL."""
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"), by_bytes=True).drop("th")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,23 @@ def test_lines_match_brute_force(spark):
         assert left.get(d) == (kept if kept.strip() or not gone else None)
 
 
+def test_lines_beyond_ascii_match_the_sql(spark, tmp_path):
+    import duckdb
+
+    from recollect.llm import queries
+
+    lines = ["Are.", "Ére.", "Ère.", "Are.", "r\u00e9.", "re.", "\u4e2d\u6587", "\u4e2d\u6588", "\u4e2d", "\U0001f600!", "\U0001f601!", "\U0001f600", "ñ", "n", "ñu", "Ωa", "ωa", "éb", "eb", "eéb"]
+    rng = random.Random(8)
+    lines += ["".join(rng.choice("aéèñ\u4e2d") for _ in range(rng.randint(1, 5))) for _ in range(200)]
+    rng.shuffle(lines)
+    table(spark, [(d, "\n".join(lines[d::20])) for d in range(20)]).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES["op3_line_dedup"](spark, str(tmp_path))
+    want = con.sql(queries.ORACLES["op3_line_dedup"]).select(*got.columns).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(e for *_, e in want) > 30
+
+
 def test_variant_hashes_are_those_of_the_strings():
     whole = [line_dedup.variant_hashes(s)[-1] for s in ("bcd", "acd", "abd", "abc", "abcd")]
     assert line_dedup.variant_hashes("abcd").tolist() == [int(x) for x in whole]
