@@ -170,7 +170,8 @@ def drop_repeated_lines(docs: DataFrame, min_fuzzy: int = MIN_FUZZY) -> DataFram
     gone = repeated_lines(docs, min_fuzzy).groupBy(F.col("doc_id").alias(i), F.col("th").alias(t)).agg(F.collect_list("line_no").alias(lines))
     gone = stage(gone, "gone")
     d = join_sized(docs, gone, (docs["doc_id"] == gone[i]) & (F.xxhash64(docs["text"]) == gone[t]), "left", 80)
-    left = _without(F.when(F.col(lines).isNotNull(), F.col("text")), F.col(lines))
+    # else the planner runs it twice in every task, for the filter and for what is left, in two workers
+    left = _without.asNondeterministic()(F.when(F.col(lines).isNotNull(), F.col("text")), F.col(lines))
     d = d.withColumn("text", F.coalesce(left, "text")).where(F.col(lines).isNull() | F.col("text").rlike(SOLID))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col(lines).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

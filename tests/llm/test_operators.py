@@ -220,6 +220,12 @@ def test_lines_beyond_ascii_match_the_sql(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want) and sum(e for *_, e in want) > 30
 
 
+def test_lines_are_taken_out_once(spark):
+    docs = table(spark, [(1, "a\nb"), (2, "a\nc"), (3, "a")])
+    plan = line_dedup.drop_repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_variant_hashes_are_those_of_the_strings():
     whole = [line_dedup.variant_hashes(s)[-1] for s in ("bcd", "acd", "abd", "abc", "abcd")]
     assert line_dedup.variant_hashes("abcd").tolist() == [int(x) for x in whole]
