@@ -122,6 +122,15 @@ def test_registered_edges_are_the_pairs(spark, tmp_path):
     assert got == {(1, 5): 2, (1, 9): 2, (1, 6): 2}
 
 
+def test_shared_tag_edges_take_less_than_half_a_byte_each(spark, tmp_path):
+    m = spark.range(3000).select((F.col("id") * 7).alias("id"), F.array(F.lit("a"), F.lit("b"), (F.col("id") % 2).cast("string")).alias("tags"))
+    graph.shared_tag_edges(m).write.parquet(f"{tmp_path}/edges")
+    got = spark.read.parquet(f"{tmp_path}/edges").agg(F.count("*"), F.count_distinct("a", "b"), F.sum("weight"), F.bool_and(F.col("a") < F.col("b"))).first()
+    same = 2 * (1500 * 1499 // 2)
+    assert tuple(got) == (3000 * 2999 // 2, 3000 * 2999 // 2, 3 * same + 2 * 1500 * 1500, True)
+    assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < 3000 * 2999 // 4
+
+
 def test_version_roots_with_loops_and_gaps(spark):
     parents = {1: None, **{i: i - 1 for i in range(2, 40)}, 50: 51, 51: 50, 60: 99, 61: 60, 70: 70, 80: 50}
     m = nodes(spark, {i: ("x", 1, 0.5, p, []) for i, p in parents.items()})
