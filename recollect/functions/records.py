@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,9 +13,28 @@ from recollect.functions import text
 from recollect.plans.shared import ship
 from recollect.sources import mex
 
+#: Bytes of a batch that are Python objects at once; a larger row goes alone.
+PIECE = 1 << 20
+#: Records of a piece that are decoded at once.
+ROWS = 1024
+
+
+def _pieces(batches):
+    """The batches in slices of at most PIECE bytes, found by halving; only these become Python objects."""
+    for b in batches:
+        waiting = [b]
+        while waiting:
+            x = waiting.pop()
+            if x.num_rows > 1 and x.nbytes > PIECE:
+                n = x.num_rows // 2
+                waiting += [x.slice(n), x.slice(0, n)]
+            elif x.num_rows:
+                yield x
+
+
 def _map(df: DataFrame, function, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lambda batches: function(_pieces(batches)), schema)
 
 
 _FIELDS = [f.split(" ", 1)[0] for f in mex.SCHEMA.replace("struct<to_id:string,weight:double,link_type:string>", "s").split(", ")]
@@ -50,9 +70,10 @@ def decoded(records: DataFrame) -> DataFrame:
         ])
         names = [f.name for f in schema.field("links").type.value_type]
         for b in batches:
-            rows = [r for x in b.column(0).to_pylist() if x is not None for r in mex.decode(x)]
-            rows = [dict(zip(_FIELDS, (*r[:8], [dict(zip(names, x)) for x in r[8]], r[9]))) for r in rows]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            found = (r for x in b.column(0).to_pylist() if x is not None for r in mex.decode(x))
+            while rows := list(islice(found, ROWS)):
+                rows = [dict(zip(_FIELDS, (*r[:8], [dict(zip(names, x)) for x in r[8]], r[9]))) for r in rows]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return _map(records.select("record"), decode, mex.SCHEMA)
 
