@@ -173,6 +173,18 @@ def test_tag_recall(spark):
     assert recall.tag_recall_all(m, ["unknown"], 5).count() == 0
 
 
+def test_batches_become_objects_piece_by_piece():
+    import pyarrow as pa
+
+    from recollect.functions import records
+
+    rows = [(i, "x" * (3_000_000 if i == 7 else i * 20)) for i in range(1000)]
+    b = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["id", "text"])
+    got = list(records._pieces(iter([b, b.slice(0, 0), b])))
+    assert all(x.num_rows == 1 or x.nbytes <= records.PIECE for x in got)
+    assert [tuple(r.values()) for x in got for r in x.to_pylist()] == rows + rows
+
+
 def test_fuzzy_ratios():
     def lcs(a, b):
         row = [0] * (len(b) + 1)
