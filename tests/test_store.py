@@ -173,6 +173,18 @@ def test_tag_recall(spark):
     assert recall.tag_recall_all(m, ["unknown"], 5).count() == 0
 
 
+def test_long_texts_are_compared_by_stretches():
+    import tracemalloc
+
+    text = "ab cd " * 50_000 + "sich auf orantion"
+    tracemalloc.start()
+    try:
+        assert fuzzy.partial("sich auf orantion", text) == 100
+        assert tracemalloc.get_traced_memory()[1] < 10e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_batches_become_objects_piece_by_piece():
     import pyarrow as pa
 
